@@ -1,6 +1,6 @@
 """Queries over the driver tables, by inventory key."""
 
-from . import window_queries  # noqa: F401
+from . import join_queries, window_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
