@@ -1,6 +1,16 @@
 """Queries over the driver tables, by inventory key."""
 
-from . import aggregate_queries, join_queries, metric_queries, rank_queries, scalar_queries, window_queries  # noqa: F401
+from . import (  # noqa: F401
+    aggregate_queries,
+    join_queries,
+    metric_queries,
+    quality_queries,
+    rank_queries,
+    rating_queries,
+    scalar_queries,
+    source_queries,
+    window_queries,
+)  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
