@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -233,21 +234,39 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
+def _bounded_items(benchmark: DataFrame, item_col: str, item_text_col: str, broadcast_words: int) -> tuple[DataFrame, list | None]:
+    """``(item_id, text)``, and its rows if they are few enough to go to every task."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    # a word has at least one character beside its separator, so this bounds the words
+    bound = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0]
+    return items, [tuple(r) for r in items.collect()] if bound <= broadcast_words else None
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """One row for each document and benchmark item that it covers: coverage, covered and all words, tiles."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    # a word has at least one character beside its separator, so this bounds the words
-    bound = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0]
-    if bound <= broadcast_words:
-        return _by_broadcast(rows, [tuple(r) for r in items.collect()], coverage)
-    return _by_shuffle(rows, items, coverage)
+    items, listed = _bounded_items(benchmark, item_col, item_text_col, broadcast_words)
+    return _by_shuffle(rows, items, coverage) if listed is None else _by_broadcast(rows, listed, coverage)
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that cover a benchmark item; a null id stays."""
-    found = Scratch(docs.sparkSession, "leaks").save(leaks(docs, benchmark, id_col=id_col, **options), "found")
-    return docs.join(found.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti")
+def remove_leaks(
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", broadcast_words: int = BROADCAST_WORDS,
+) -> DataFrame:
+    """docs without the rows whose text covers a benchmark item; all columns are kept."""
+    items, listed = _bounded_items(benchmark, item_col, item_text_col, broadcast_words)
+    if listed is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark.build(listed))
+
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series) -> pd.Series:
+            return pd.Series([not shared.value.leaks(t, coverage) for t in texts], dtype=bool)
+
+        return docs.where(clean(F.col(text_col).cast("string")))
+    keyed = docs.withColumn("__text_key", F.xxhash64(F.col(text_col)))
+    rows = keyed.select(F.col("__text_key").alias("doc_id"), F.col(text_col).alias("text")).dropDuplicates(["doc_id"])
+    found = Scratch(docs.sparkSession, "leaks").save(_by_shuffle(rows, items, coverage), "found")
+    return keyed.join(found.select(F.col("doc_id").alias("__text_key")).distinct(), "__text_key", "left_anti").drop("__text_key")
