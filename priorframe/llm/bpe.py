@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The public byte-level pattern, with \s as the White_Space property.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -229,9 +230,9 @@ def with_tokens(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
                 yield pa.RecordBatch.from_arrays([*columns, lists, counts], names=[*names, ids_col, "n_tokens"])
                 at += len(ids)
 
-    schema = kept.schema.add(ids_col, "array<int>").add("n_tokens", "bigint")
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
     rows = kept.select("*", F.col(text_col).cast("binary").alias("__bytes"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
 
 
 def decode_ids(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -246,4 +247,4 @@ def decode_ids(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str
             texts = pa.array([c.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, text_col])
 
-    return kept.mapInArrow(run, kept.schema.add(text_col, "string"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
