@@ -6,7 +6,8 @@ every block meets every shard, so a task holds one shard and one block. A subtre
 shows that it lies further away than the k-th best so far: |d(q, v) - median| * factor > worst. Factor one is exact
 search; larger factors skip more.
 
-Distances are Euclidean in double precision, the squares added in component order. Ties go to the smaller id.
+Distances are Euclidean in double precision, the squares added in component order. The search itself adds them in any
+order, keeps eight rows more than k, and the exact sums decide among these. Ties go to the smaller id.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries or as
 candidates; vectors whose length is not the query's are no candidates of it; a query is never its own candidate, whose
@@ -28,7 +29,8 @@ from .scratch import Scratch
 
 SHARD_ROWS = 8192
 BLOCK = 512
-LEAF = 64
+LEAF = 256
+SPARE = 8
 FACTOR = 1.0
 SLACK = 1e-9
 
@@ -41,6 +43,15 @@ def distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def quick_distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Euclidean within a few units in the last place; equal rows give equal distances."""
+    out = np.empty((len(queries), len(rows)))
+    for at in range(0, len(queries), 32):
+        gap = queries[at : at + 32, None, :] - rows[None, :, :]
+        out[at : at + 32] = np.einsum("qrd,qrd->qr", gap, gap)
+    return np.sqrt(out)
+
+
 class VantagePointTree:
     """Rows in leaf order; an inner node is (vantage row, median, near child, far child)."""
 
@@ -52,10 +63,9 @@ class VantagePointTree:
     def _build(self, members: np.ndarray):
         if len(members) <= self.leaf:
             return members
-        sample = self.rows[members[:: max(1, len(members) // 16)]]
-        spread = np.std(distances(sample, sample), axis=1)
-        vantage = members[:: max(1, len(members) // 16)][int(np.argmax(spread))]
-        away = distances(self.rows[vantage : vantage + 1], self.rows[members])[0]
+        sample = members[:: max(1, len(members) // 16)]
+        vantage = sample[int(np.argmax(np.std(quick_distances(self.rows[sample], self.rows[sample]), axis=1)))]
+        away = quick_distances(self.rows[vantage : vantage + 1], self.rows[members])[0]
         median = float(np.median(away))
         inside = away <= median
         if inside.all():  # equal distances cannot be split: a larger leaf keeps the search exact
@@ -63,24 +73,25 @@ class VantagePointTree:
         return vantage, median, self._build(members[inside]), self._build(members[~inside])
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k best ``(distance, id)`` of each query; missing places are infinite."""
-        best = np.full((len(queries), k), np.inf)
-        names = np.full((len(queries), k), np.iinfo(np.int64).max)
+        """The k best ``(distance, place in the tree's rows)`` of each query; missing places are infinite."""
+        wide = k + SPARE
+        best = np.full((len(queries), wide), np.inf)
+        places = np.full((len(queries), wide), len(self.ids))
 
         def visit(node, active: np.ndarray) -> None:
             if not len(active):
                 return
             if isinstance(node, np.ndarray):
-                away = distances(queries[active], self.rows[node])
+                away = quick_distances(queries[active], self.rows[node])
                 away[query_ids[active][:, None] == self.ids[node][None, :]] = np.inf
                 d = np.concatenate([best[active], away], axis=1)
-                i = np.concatenate([names[active], np.broadcast_to(self.ids[node], away.shape)], axis=1)
-                i = np.where(np.isinf(d), np.iinfo(np.int64).max, i)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best[active], names[active] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                i = np.concatenate([places[active], np.broadcast_to(node, away.shape)], axis=1)
+                i = np.where(np.isinf(d), len(self.ids), i)  # rows are in order of their ids, so places break ties
+                order = np.lexsort((i, d), axis=1)[:, :wide]
+                best[active], places[active] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
                 return
             vantage, median, near, far = node
-            gap = distances(queries[active], self.rows[vantage : vantage + 1])[:, 0] - median
+            gap = quick_distances(queries[active], self.rows[vantage : vantage + 1])[:, 0] - median
             inside = gap <= 0
             visit(near, active[inside])
             visit(far, active[~inside])
@@ -89,7 +100,11 @@ class VantagePointTree:
             visit(near, active[~inside & open_])
 
         visit(self.root, np.arange(len(queries)))
-        return best, names
+        for q in range(len(queries)):
+            real = np.isfinite(best[q])
+            best[q, real] = distances(queries[q : q + 1], self.rows[places[q, real]])[0]
+        order = np.lexsort((places, best), axis=1)[:, :k]
+        return np.take_along_axis(best, order, 1), np.take_along_axis(places, order, 1)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -133,10 +148,10 @@ def nearest(
                 if (r.shard, r.dim) not in trees:
                     trees.clear()
                     trees[r.shard, r.dim] = VantagePointTree(np.array(r.shard_ids), np.array(r.shard_rows).reshape(-1, r.dim))
-                names = np.array(r.block_ids)
-                best, found = trees[r.shard, r.dim].search(names, np.array(r.block_rows).reshape(-1, r.dim), k, factor)
+                names, tree = np.array(r.block_ids), trees[r.shard, r.dim]
+                best, found = tree.search(names, np.array(r.block_rows).reshape(-1, r.dim), k, factor)
                 real = np.isfinite(best)
-                yield pd.DataFrame({"query_id": np.repeat(names, real.sum(1)), "vec_id": found[real], "score": best[real]})
+                yield pd.DataFrame({"query_id": np.repeat(names, real.sum(1)), "vec_id": tree.ids[found[real]], "score": best[real]})
 
     hits = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
