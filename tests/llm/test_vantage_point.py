@@ -21,7 +21,7 @@ def brute(rows, every, k):
             if i != q and len(v) == len(seen[q]):
                 total = 0.0
                 for a, b in zip(seen[q], v):
-                    total += (float(a) - float(b)) ** 2
+                    total += (float(a) - float(b)) * (float(a) - float(b))
                 found.append((math.sqrt(total), i))
         out[q] = sorted(found)[:k]
     return out
