@@ -1,10 +1,12 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Token scores are log-odds ratios of toxic against clean labelled text under an informative Dirichlet prior, the
-frequencies of all labelled text. Tokens without a significant ratio only cost the drift, a small penalty that keeps the
-expected score of clean text negative. A linear scan finds every maximal scoring segment. A segment's score S in a text
-of n tokens is calibrated as an extreme value: E = K n exp(-lambda S), lambda from the clean token distribution and K
-from the largest segments of clean text. Segments of E below one half are reported; a document's evidence is the sum of
+Token scores are log-odds ratios of toxic against clean labelled texts under an informative Dirichlet prior, the
+frequencies of all labelled texts. A token counts once per text, in counting as in scoring, so that a text that repeats
+a word says no more than one that has it. Tokens whose ratio is not significant (a z-score below sqrt(2 ln n) for n
+toxic texts, as in the Bayesian information criterion) only cost the drift, a small penalty that keeps the expected
+score of clean text negative. A linear scan finds every maximal scoring segment. A segment's score S in a text of n
+tokens is calibrated as an extreme value: E = K n exp(-lambda S), lambda from the clean token distribution and K from
+the largest segments of clean text. Segments of E below one half are reported; a document's evidence is the sum of
 -ln E over them, or -ln E of its best segment if none is, and a logistic curve turns it into a score.
 
 The labelled sample is bounded by ``max_labelled`` (60,000 ids) and the table of token scores by ``max_tokens``
@@ -32,9 +34,8 @@ from .labelled import MAX_LABELLED, held_out, labelled_texts, logistic, probabil
 from .scratch import Scratch
 
 MAX_TOKENS = 50_000
-PRIOR = 500.0
-DRIFT = 0.25
-MIN_Z = 2.5
+PRIOR_SHARE = 0.1
+DRIFT = 0.5
 REPORT_E = 0.5
 WORD = re.compile(r"\w+")
 
@@ -79,8 +80,8 @@ class ToxicityModel:
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """Maximal segments in positions of words. Runs of ordinary words are joined first, which changes no segment."""
-        get = self.scores.get
-        marks = [(k, s) for k, w in enumerate(words) if (s := get(w)) is not None]
+        get, seen = self.scores.get, set()
+        marks = [(k, s) for k, w in enumerate(words) if (s := get(w)) is not None and not (w in seen or seen.add(w))]
         if not any(s > DRIFT for _, s in marks):
             return []
         series: list[float] = []
@@ -110,13 +111,13 @@ class ToxicityModel:
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """``(token, toxic, clean)`` counts over labelled texts; each batch is counted before the shuffle."""
+    """``(token, toxic, clean)``: numbers of labelled texts with a token; each batch is counted before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                counts[y].update(tokens(text.as_py()))
+                counts[y].update(set(tokens(text.as_py())))
             words = list({**counts[0], **counts[1]})
             columns = [words, [counts[1][w] for w in words], [counts[0][w] for w in words]]
             yield pa.RecordBatch.from_arrays(
@@ -128,15 +129,17 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return counts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``(token, delta, clean)`` of the most significant tokens, at most ``max_tokens``."""
+def log_odds(counts: DataFrame, n_toxic: int, prior_share: float = PRIOR_SHARE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """``(token, delta, clean)`` of the significant tokens, at most ``max_tokens``, the most significant first."""
     sums = counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0"))
-    alpha = F.col("prior") * (F.col("toxic") + F.col("clean")) / (F.col("n1") + F.col("n0"))
-    rows = counts.crossJoin(F.broadcast(sums)).withColumn("prior", F.lit(prior)).withColumn("a", alpha)
-    y1, y0 = F.col("toxic") + F.col("a"), F.col("clean") + F.col("a")
-    ratio = F.log(y1 / (F.col("n1") + F.col("prior") - y1)) - F.log(y0 / (F.col("n0") + F.col("prior") - y0))
+    rows = counts.crossJoin(F.broadcast(sums))  # one row
+    prior = prior_share * (F.col("n1") + F.col("n0"))
+    a = prior_share * (F.col("toxic") + F.col("clean"))
+    y1, y0 = F.col("toxic") + a, F.col("clean") + a
+    ratio = F.log(y1 / (F.col("n1") + prior - y1)) - F.log(y0 / (F.col("n0") + prior - y0))
     rows = rows.withColumn("delta", ratio).withColumn("z", F.col("delta") / F.sqrt(1 / y1 + 1 / y0))
-    rows = rows.where(F.abs("z") >= min_z).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens)
+    least = math.sqrt(2 * math.log(max(n_toxic, 3)))
+    rows = rows.where(F.abs("z") >= least).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens)
     return rows.select("token", "delta", (F.col("clean") / F.col("n0")).alias("clean"))
 
 
@@ -179,9 +182,13 @@ def fit(
     """Learn only from labelled rows whose crc32(id as text) mod ``modulus`` is not ``rest``."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.save(training_labels(labels, "toxic", modulus, rest, max_labelled, F.max), "sample")
+    # copies of a text count once, by their smallest id
+    copies = labelled_texts(docs, sample, id_col, text_col).select("doc_id", "y", F.xxhash64("text").alias("key"))
+    sample = scratch.save(copies.groupBy("key").agg(F.min(F.struct("doc_id", "y")).alias("m")).select("m.*"), "distinct")
     texts = labelled_texts(docs, sample, id_col, text_col)
     counts = scratch.save(count_tokens(texts), "counts")
-    rows = log_odds(counts, max_tokens=max_tokens).collect()
+    n_toxic = sample.where("y = 1").count()
+    rows = log_odds(counts, n_toxic, max_tokens=max_tokens).collect()
     model = ToxicityModel({r.token: r.delta for r in rows})
     if not rows:
         return model
