@@ -87,7 +87,7 @@ ORACLES: dict[str, str] = {
     "op4_nearest": """WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) AS x FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
  AND len(list_filter(embedding, lambda e: e <> 0)) > 0 GROUP BY vec_id),
-d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.x, c.x) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0)
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM d
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10"""
 }
