@@ -54,18 +54,23 @@ def link_buckets(
     members: DataFrame,
     near: Callable[[Column, Column], Column] | None = None,
     verify: Callable[[DataFrame], DataFrame] | None = None,
+    marks: DataFrame | None = None,
 ) -> DataFrame:
     """``members(bucket, id, home)`` to ``(id, comp)`` of the ids that have a link.
 
-    Two ids are linked if they share a bucket where at least one is at home, ``near(id, id)`` holds and ``verify`` keeps
-    their pair ``(a, b)``. An id occurs at most once in a bucket.
+    Two ids are linked if they share a bucket where at least one is at home, ``near`` holds for their marks and
+    ``verify`` keeps their pair ``(a, b)``. An id occurs at most once in a bucket. ``marks(id, mark)`` has the marks; an
+    id is its own mark without it.
     """
     near = near or (lambda a, b: F.lit(True))
     verify = verify or (lambda pairs: pairs)
     lead = F.min(F.when(F.col("home"), F.col("id"))).over(Window.partitionBy("bucket"))
     close = scratch.save(members.withColumn("lead", lead).where(F.col("id") != F.col("lead")), "close")
-    first = close.where(near(F.col("id"), F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    one = connected_components(scratch, verify(first.distinct()), "one")
+    marks = close.select("id", F.col("id").alias("mark")).distinct() if marks is None else marks
+    first = close.select("id", "lead").distinct().join(marks, "id")
+    first = first.join(marks.select(F.col("id").alias("lead"), F.col("mark").alias("lead_mark")), "lead", "left")
+    first = first.where(near(F.col("mark"), F.coalesce("lead_mark", "lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    one = connected_components(scratch, verify(first), "one")
 
     leads = close.select("bucket", F.col("lead").alias("id"), F.lit(True).alias("home")).distinct()
     rows = close.select("bucket", "id", "home").unionByName(leads)
@@ -73,10 +78,11 @@ def link_buckets(
     placed = scratch.save(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = scratch.save(mixed.where(F.col("low") != F.col("high")).select("bucket"), "mixed")
-    left = placed.join(mixed, "bucket", "left_semi")
+    left = placed.join(mixed, "bucket", "left_semi").join(marks, "id", "left").withColumn("mark", F.coalesce("mark", "id"))
+    left = scratch.save(left, "left")
     x, y = left.where("home").alias("x"), left.alias("y")
     apart = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
-        (F.col("x.comp") != F.col("y.comp")) & near(F.col("x.id"), F.col("y.id"))
+        (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.home") | (F.col("x.id") < F.col("y.id"))) & near(F.col("x.mark"), F.col("y.mark"))
     )
     pairs = apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     second = scratch.save(verify(pairs), "apart")
