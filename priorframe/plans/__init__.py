@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     aggregate_queries,
+    composite_queries,
     join_queries,
     learn_queries,
     metric_queries,
