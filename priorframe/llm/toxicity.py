@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 Token scores are log-odds ratios of toxic against clean labelled texts under an informative Dirichlet prior, the
-frequencies of all labelled texts. A token counts once per text, in counting as in scoring, so that a text that repeats
-a word says no more than one that has it. Tokens whose ratio is not significant (a z-score below sqrt(2 ln n) for n
+frequencies of all labelled texts. In training a token counts once per text, so that a text that repeats a word says no
+more than one that has it; in the scan every occurrence is scored, so that no passage is lost to an earlier one. Tokens whose ratio is not significant (a z-score below sqrt(2 ln n) for n
 toxic texts, as in the Bayesian information criterion) only cost the drift, a small penalty that keeps the expected
 score of clean text negative. A linear scan finds every maximal scoring segment. A segment's score S in a text of n
 tokens is calibrated as an extreme value: E = K n exp(-lambda S), lambda from the clean token distribution and K from
@@ -80,8 +80,8 @@ class ToxicityModel:
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """Maximal segments in positions of words. Runs of ordinary words are joined first, which changes no segment."""
-        get, seen = self.scores.get, set()
-        marks = [(k, s) for k, w in enumerate(words) if (s := get(w)) is not None and not (w in seen or seen.add(w))]
+        get = self.scores.get
+        marks = [(k, s) for k, w in enumerate(words) if (s := get(w)) is not None]
         if not any(s > DRIFT for _, s in marks):
             return []
         series: list[float] = []
