@@ -86,18 +86,24 @@ def x06(spark, sf_dir):
 def x07(spark, sf_dir):
     """Ratings brought up to date by a stream of finished rounds, one file a round."""
     w = Workspace(spark, "rounds")
-    rows = w.save(games(spark, sf_dir).where("season = 1995 and period <= 4"), "games")
-    w.save(fresh_state(rows, RatingRules()).coalesce(1), "state--1")
-    for period in (1, 2, 3, 4):
-        rows.where(F.col("period") == period).coalesce(1).write.mode("append").parquet(f"{w.path}/queue")
+    rows = w.save(games(spark, sf_dir), "games")
+    rounds = [(r.season, r.period) for r in rows.select("season", "period").distinct().orderBy("season", "period").collect()]
+    state = w.save(fresh_state(rows, RatingRules()).coalesce(1), "state--1")
+    if not rounds:
+        return state
+    at = lambda season, period: (F.col("season") == season) & (F.col("period") == period)
+    for season, period in rounds:
+        rows.where(at(season, period)).coalesce(1).write.mode("append").parquet(f"{w.path}/queue")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{w.path}/queue")
 
     def step(batch, number):
+        if not batch.where(~at(*rounds[number])).isEmpty():
+            raise ValueError(f"batch {number} is not round {rounds[number]}")
         state = spark.read.parquet(f"{w.path}/state-{number - 1}")
         w.save(play_round(state, batch, RatingRules()).coalesce(1), f"state-{number}")
 
     X.run_batches(stream, w, "ratings", step)
-    return spark.read.parquet(f"{w.path}/state-3")
+    return spark.read.parquet(f"{w.path}/state-{len(rounds) - 1}")
 
 
 @query("X08")
