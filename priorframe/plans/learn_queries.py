@@ -14,7 +14,6 @@ from .aggregate_queries import EDGE, edges, games
 from .facts import FACT, facts
 from .registry import query
 
-SEASONS = (1998, 1999, 2000, 2001)
 INPUTS = ["pred", "naive", "share"]
 
 
@@ -24,6 +23,11 @@ def frame(spark, sf_dir):
     return rows.withColumn("share", (F.col("entity") % 10).cast("double")).withColumn("label", F.col("qty"))
 
 
+def seasons(rows):
+    """The distinct seasons in order, a few rows; :func:`walk_forward` skips those without rows to learn from."""
+    return [r.season for r in rows.select("season").where("season is not null").distinct().orderBy("season").collect()]
+
+
 @query("L01", f"WITH {FACT}, s AS (SELECT DISTINCT season FROM fact), p AS (SELECT a.season AS valid_season, b.season AS train_season FROM s a JOIN s b ON b.season < a.season) SELECT count(*) OVER (PARTITION BY valid_season) AS fold, train_season, valid_season FROM p")
 def l01(spark, sf_dir):
     return L.season_folds(facts(spark, sf_dir), "season")
@@ -32,7 +36,8 @@ def l01(spark, sf_dir):
 @query("L02")
 def l02(spark, sf_dir):
     learner = lambda n: GBTRegressor(labelCol="label", featuresCol="features", maxIter=5, maxDepth=3, seed=3)
-    out = L.walk_forward(frame(spark, sf_dir), "season", INPUTS, "label", learner, SEASONS)
+    rows = frame(spark, sf_dir)
+    out = L.walk_forward(rows, "season", INPUTS, "label", learner, seasons(rows))
     return out.select("game", "season", F.round("prediction", 4).alias("prediction"), "max_train_season")
 
 
@@ -60,9 +65,10 @@ def l04(spark, sf_dir):
 def l05(spark, sf_dir):
     """A second-stage ridge over two bases' out-of-fold predictions, itself out of fold."""
     rows = frame(spark, sf_dir)
-    base = L.walk_forward(rows, "season", ["pred", "naive"], "label", lambda n: L.ridge(1.0, n, "label"), SEASONS).withColumnRenamed("prediction", "base_a").drop("max_train_season")
-    both = L.walk_forward(base, "season", ["share"], "label", lambda n: L.ridge(1.0, n, "label"), SEASONS[1:]).withColumnRenamed("prediction", "base_b").drop("max_train_season")
-    out = L.walk_forward(both, "season", ["base_a", "base_b"], "label", lambda n: L.ridge(5.0, n, "label"), SEASONS[2:])
+    every = seasons(rows)
+    base = L.walk_forward(rows, "season", ["pred", "naive"], "label", lambda n: L.ridge(1.0, n, "label"), every).withColumnRenamed("prediction", "base_a").drop("max_train_season")
+    both = L.walk_forward(base, "season", ["share"], "label", lambda n: L.ridge(1.0, n, "label"), every).withColumnRenamed("prediction", "base_b").drop("max_train_season")
+    out = L.walk_forward(both, "season", ["base_a", "base_b"], "label", lambda n: L.ridge(5.0, n, "label"), every)
     return out.select("game", "season", F.round("prediction", 4).alias("prediction"), "max_train_season")
 
 
