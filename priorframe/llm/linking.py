@@ -3,7 +3,7 @@
 A bucketed similarity search compares rows that share a bucket. Emitting every pair of a bucket grows with the
 square of the largest group of near copies, so :func:`link_buckets` works in two rounds and loses no link:
 
-1. every member of a bucket is compared with the bucket's smallest home member only, which is linear;
+1. every id is compared with the smallest home member of one of its buckets only, which is linear;
 2. pairs are compared where both are still in different components. A bucket whose members are all connected
    by then has nothing left to find, because only connectivity is reported.
 """
@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 
 MAX_ROUNDS = 200
+#: Two longs each, so at most 32 MB go to every task.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -64,12 +66,19 @@ def link_buckets(
     """
     near = near or (lambda a, b: F.lit(True))
     verify = verify or (lambda pairs: pairs)
-    lead = F.min(F.when(F.col("home"), F.col("id"))).over(Window.partitionBy("bucket"))
-    close = scratch.save(members.withColumn("lead", lead).where(F.col("id") != F.col("lead")), "close")
+    # Most buckets hold one id. A bucket's ids are summed up before the shuffle, so that a hot bucket is no hot task.
+    bucket = members.groupBy("bucket").agg(
+        F.min(F.when(F.col("home"), F.col("id"))).alias("lead"), F.min("id").alias("low"), F.max("id").alias("high")
+    )
+    shared = scratch.save(bucket.where((F.col("low") != F.col("high")) & F.col("lead").isNotNull()).select("bucket", "lead"), "shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_BUCKETS else shared
+    close = scratch.save(members.join(shared, "bucket").where(F.col("id") != F.col("lead")), "close")
     marks = close.select("id", F.col("id").alias("mark")).distinct() if marks is None else marks
-    first = close.select("id", "lead").distinct().join(marks, "id")
+    first = close.groupBy("id", "lead").agg(F.count("*").alias("n")).join(marks, "id")
     first = first.join(marks.select(F.col("id").alias("lead"), F.col("mark").alias("lead_mark")), "lead", "left")
-    first = first.where(near(F.col("mark"), F.coalesce("lead_mark", "lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    first = first.where(near(F.col("mark"), F.coalesce("lead_mark", "lead")))
+    # an id is compared with the lead that it meets most often; the other leads wait for the second round
+    first = first.groupBy("id").agg(F.max(F.struct("n", "lead")).alias("m")).select(F.col("m.lead").alias("a"), F.col("id").alias("b"))
     one = connected_components(scratch, verify(first), "one")
 
     leads = close.select("bucket", F.col("lead").alias("id"), F.lit(True).alias("home")).distinct()
