@@ -72,20 +72,22 @@ def tile(item: list[int], text: list[int], least: int = SEED_WORDS) -> list[tupl
             table.setdefault(h, []).append(i)
         found: list[tuple[int, int, int]] = []
         longest = 0
+        reach: dict[int, int] = {}  # where the latest match of a diagonal ends; each diagonal's run is walked once
         for h, j in _window_hashes(text, _stretches(free_text, length), length):
             for i in table.get(h, ()):
+                if j < reach.get(j - i, 0):
+                    continue
                 n = 0
                 while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and free_item[i + n] and free_text[j + n]:
                     n += 1
+                reach[j - i] = j + n
                 if n >= length:
                     found.append((n, i, j))
                     longest = max(longest, n)
         if longest > 2 * length:
             length = longest
             continue
-        queue = sorted(found, key=lambda m: (-m[0], m[1], m[2]))
-        while queue:
-            n, i, j = queue.pop(0)
+        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
             if not (free_item[i : i + n].all() and free_text[j : j + n].all()):
                 continue  # what is left of it is found again at its own length
             free_item[i : i + n] = False
@@ -215,28 +217,33 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame
             )
 
     keyed_docs = docs.withColumn("text_key", F.xxhash64("text"))
+    texts = keyed_docs.select("text_key", "text").dropDuplicates(["text_key"])
     keyed_items = items.withColumn("item_key", F.xxhash64("text"))
-    left = keyed_docs.select("text_key", "text").dropDuplicates(["text_key"]).mapInArrow(seeds, "key long, seed long")
+    left = texts.mapInArrow(seeds, "key long, seed long")
     right = keyed_items.select("item_key", "text").dropDuplicates(["item_key"]).mapInArrow(seeds, "key long, seed long")
     pairs = left.withColumnRenamed("key", "text_key").join(right.withColumnRenamed("key", "item_key"), "seed")
     pairs = pairs.select("text_key", "item_key").distinct()
-    full = pairs.join(keyed_docs, "text_key").join(keyed_items.withColumnRenamed("text", "item_text"), "item_key")
+    full = pairs.join(texts, "text_key").join(keyed_items.withColumnRenamed("text", "item_text"), "item_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, item, item_text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                rows += [(doc, *r) for r in Benchmark.build([(item, item_text)]).leaks(text, coverage)]
+            for key, text, item, item_text in zip(*(batch.column(k) for k in range(4))):
+                build = Benchmark.build([(item.as_py(), item_text.as_py())])
+                rows += [(key.as_py(), *r) for r in build.leaks(text.as_py(), coverage)]
             yield _record(rows)
 
-    found = full.select("doc_id", "text", "item_id", "item_text").mapInArrow(run, ROWS)
+    found = full.select("text_key", "text", "item_id", "item_text").mapInArrow(run, ROWS).withColumnRenamed("doc_id", "text_key")
     best = F.max(F.struct("coverage", "covered_words", "item_words", "n_tiles", "longest_tile")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    best_rows = found.groupBy("text_key", "item_id").agg(best).select("text_key", "item_id", "best.*")
+    # each row of docs gets the rows of its text
+    return keyed_docs.select("doc_id", "text_key").join(best_rows, "text_key").drop("text_key")
 
 
 def _bounded_items(benchmark: DataFrame, item_col: str, item_text_col: str, broadcast_words: int) -> tuple[DataFrame, list | None]:
     """``(item_id, text)``, and its rows if they are few enough to go to every task."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    items = items.where("text is not null")
     # a word has at least one character beside its separator, so this bounds the words
     bound = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0]
     return items, [tuple(r) for r in items.collect()] if bound <= broadcast_words else None
