@@ -2,7 +2,8 @@
 
 Hashes of all three-word windows of the texts are joined with the windows of the license templates, a short fixed list
 that is broadcast. A hit at word p of the text and word q of a template votes for the diagonal p - q. Neighbouring
-diagonals (the text may have gained or lost some words) whose hits lie close together are merged into a span, and a span
+diagonals (the text may have gained or lost some words) are one cluster, whose hits that lie close together are merged
+into a span, and a span
 is verified: the share of the template's windows that it holds must reach ``coverage``. Base phrases are templates
 whose every window must stand in a row.
 
@@ -105,11 +106,16 @@ def votes(seen: DataFrame, table: DataFrame) -> DataFrame:
 
 def spans(found: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Merge neighbouring diagonals and verify: ``(doc_id, text_key, label, first, last, score)``."""
-    order = Window.partitionBy("doc_id", "text_key", "template").orderBy("first", "diagonal")
-    before = F.lag(F.struct("diagonal", "last")).over(order)
-    fresh = before.isNull() | (F.abs(F.col("diagonal") - before["diagonal"]) > MAX_DRIFT) | (F.col("first") - before["last"] > MAX_GAP)
-    rows = found.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(order))
-    merged = rows.groupBy("doc_id", "text_key", "template", "label", "n_grams", "span").agg(
+    keys = ("doc_id", "text_key", "template")
+    along = Window.partitionBy(*keys).orderBy("diagonal")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > MAX_DRIFT, F.lit(False))
+    # a stray hit on a far diagonal is a cluster of its own and parts no other
+    rows = found.withColumn("far", far.cast("int")).withColumn("cluster", F.sum("far").over(along))
+    order = Window.partitionBy(*keys, "cluster").orderBy("first", "diagonal")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("fresh", F.coalesce(F.col("first") - before > MAX_GAP, F.lit(False)).cast("int"))
+    rows = rows.withColumn("span", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = rows.groupBy(*keys, "label", "n_grams", "cluster", "span").agg(
         F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"),
     )

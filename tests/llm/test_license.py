@@ -1,3 +1,4 @@
+import random
 import re
 
 from priorframe.llm import license_scan as L
@@ -39,3 +40,48 @@ def test_labels_beyond_the_base(spark):
     five = next(r for r in out if r.doc_id == 5 and r.n_base)
     assert (five.n_base, five.first_word, five.last_word, five.score) == (2, 0, 2, 1.0)
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_stray_window_inside_a_notice(spark):
+    notice = L.TEMPLATES[8][1].split()
+    put = lambda extra: " ".join([*notice[:12], *extra.split(), *notice[12:]])
+    rows = [(1, put("foo bar baz")), (2, put("redistribution and use")), (3, put("conditions are met")), (4, put("x " * 60))]
+    out = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[k].labels for k in (1, 2, 3, 4)] == ["bsd", "bsd", "bsd", ""]
+    assert abs(out[1].score - out[2].score) < 1e-9
+
+
+def brute_spans(words, text):
+    """Diagonal voting restated: best share of a template's windows in a span of close hits on close diagonals."""
+    w, best = text.split(), 0.0
+    hits = sorted((p - q, p, q) for q in range(len(words) - 2) for p in range(len(w) - 2) if w[p : p + 3] == words[q : q + 3])
+    clusters = []
+    for d, p, q in hits:
+        if not clusters or d - clusters[-1][-1][0] > L.MAX_DRIFT:
+            clusters.append([])
+        clusters[-1].append((d, p, q))
+    for c in clusters:
+        spans, last = [], None
+        for _, p, q in sorted(c, key=lambda x: x[1]):
+            if last is None or p - last > L.MAX_GAP:
+                spans.append(set())
+            spans[-1].add(q)
+            last = p if last is None else max(last, p)
+        best = max([best, *(len(x) / (len(words) - 2) for x in spans)])
+    return best
+
+
+def test_spans_against_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    rows = []
+    for k in range(80):
+        text = list(words)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(text))
+            text[at:at] = [rng.choice(["x", *words]) for _ in range(rng.choice([1, 3, 9]))]
+        rows.append((k, " ".join(text)))
+    out = L.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=(("own", " ".join(words)),), coverage=0.4).collect()
+    for r in out:
+        want = brute_spans(words, dict(rows)[r.doc_id])
+        assert abs(r.score - (want if want >= 0.4 else 0.0)) < 1e-9, (r, want)
