@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+MAX_READERS = 100_000
 ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 1 << 20
 MAX_HEAD = 1 << 20
@@ -232,4 +233,5 @@ def archive_round_trip(
     scratch = Scratch(pages.sparkSession, "warc")
     records = plan_records(pages, scratch, id_col, url_col, html_col, min_revisit)
     manifest = scratch.save(write_archives(records, f"{scratch.path}/archives", archive_bytes), "manifest")
-    return read_archives(manifest.repartition("archive"))
+    # a number keeps the archives from being folded into one task
+    return read_archives(manifest.repartition(max(1, min(manifest.count(), MAX_READERS))))
