@@ -110,8 +110,9 @@ def near_duplicates(
     nodes = scratch.save(marks.groupBy("mark").agg(F.min("doc_id").alias("first")), "nodes")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits
     linked = link_buckets(scratch, anchors(nodes), near)
-    named = nodes.join(linked.withColumnRenamed("id", "mark"), "mark", "left")
-    best = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("best"))
+    # Written tables: the join below is then of two plain scans, a hot component of which Spark can split.
+    named = scratch.save(nodes.join(linked.withColumnRenamed("id", "mark"), "mark", "left"), "named")
+    best = scratch.save(named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("best")), "best")
     names = named.join(best, "comp", "left").select("mark", F.coalesce("best", "first").alias("component_id"))
     names = scratch.save(names, "names")
     digits = F.lpad(F.lower(F.hex("mark")), 16, "0")
