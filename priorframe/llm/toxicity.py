@@ -9,8 +9,9 @@ tokens is calibrated as an extreme value: E = K n exp(-lambda S), lambda from th
 the largest segments of clean text. Segments of E below one half are reported; a document's evidence is the sum of
 -ln E over them, or -ln E of its best segment if none is, and a logistic curve turns it into a score.
 
-The labelled sample is bounded by ``max_labelled`` (60,000 ids) and the table of token scores by ``max_tokens``
-(50,000); counting, fitting and scoring run on the executors, and only these bounded tables reach the driver.
+The labelled sample is bounded by ``max_labelled`` (60,000 ids). A significant token is in many of its texts, so the
+table of token scores is bounded by the sample too; counting, fitting and scoring run on the executors, and only this
+table and histograms reach the driver.
 
 Defined cases: null and empty texts have no tokens and get the curve's value for no evidence; without labels every score
 is 0.0; repeated rows get equal rows; a null doc_id is kept and is not held out; an empty table gives an empty result.
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 from .labelled import MAX_LABELLED, held_out, labelled_texts, logistic, probability, training_labels
 from .scratch import Scratch
 
-MAX_TOKENS = 50_000
 PRIOR_SHARE = 0.1
 DRIFT = 0.5
 REPORT_E = 0.5
@@ -129,8 +129,8 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return counts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame, n_toxic: int, prior_share: float = PRIOR_SHARE, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``(token, delta, clean)`` of the significant tokens, at most ``max_tokens``, the most significant first."""
+def log_odds(counts: DataFrame, n_toxic: int, prior_share: float = PRIOR_SHARE) -> DataFrame:
+    """``(token, delta, clean)`` of all significant tokens."""
     sums = counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0"))
     rows = counts.crossJoin(F.broadcast(sums))  # one row
     prior = prior_share * (F.col("n1") + F.col("n0"))
@@ -139,7 +139,7 @@ def log_odds(counts: DataFrame, n_toxic: int, prior_share: float = PRIOR_SHARE,
     ratio = F.log(y1 / (F.col("n1") + prior - y1)) - F.log(y0 / (F.col("n0") + prior - y0))
     rows = rows.withColumn("delta", ratio).withColumn("z", F.col("delta") / F.sqrt(1 / y1 + 1 / y0))
     least = math.sqrt(2 * math.log(max(n_toxic, 3)))
-    rows = rows.where(F.abs("z") >= least).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens)
+    rows = rows.where(F.abs("z") >= least)
     return rows.select("token", "delta", (F.col("clean") / F.col("n0")).alias("clean"))
 
 
@@ -177,7 +177,7 @@ def _evidence_rows(texts: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def fit(
     docs: DataFrame, labels: DataFrame, modulus: int, rest: int, id_col: str = "doc_id", text_col: str = "text",
-    max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS,
+    max_labelled: int = MAX_LABELLED,
 ) -> ToxicityModel:
     """Learn only from labelled rows whose crc32(id as text) mod ``modulus`` is not ``rest``."""
     scratch = Scratch(docs.sparkSession, "toxicity")
@@ -188,7 +188,7 @@ def fit(
     texts = labelled_texts(docs, sample, id_col, text_col)
     counts = scratch.save(count_tokens(texts), "counts")
     n_toxic = sample.where("y = 1").count()
-    rows = log_odds(counts, n_toxic, max_tokens=max_tokens).collect()
+    rows = log_odds(counts, n_toxic).orderBy("token").collect()
     model = ToxicityModel({r.token: r.delta for r in rows})
     if not rows:
         return model
@@ -217,8 +217,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("e_value", pa.float64())]))
         for batch in batches:
             found = [m.evidence(tokens(x.as_py())) for x in batch.column(1)]
-            values = np.minimum(np.array([e for e, _ in found], float).reshape(-1, 1), 40.0)
-            scores = probability(values, m.curve) if m.curve else np.zeros(len(found))
+            values = np.array([e for e, _ in found], float).reshape(-1, 1)
+            scores = probability(np.minimum(values, 40.0), m.curve) if m.curve else np.zeros(len(found))
             spans = [[{"first_word": a, "last_word": b - 1, "e_value": e} for a, b, e in s] for _, s in found]
             arrays = [batch.column(0), pa.array(scores), pa.array(values[:, 0]), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "evidence", "passages"])
