@@ -3,7 +3,8 @@
 A rule fits its host and all subdomains if the URL's path starts with the rule's path; the longest rule wins. URLs that
 a rule decides are the labelled ones: the trees learn from a bounded sample of them (``max_labelled``, 40,000, in hash
 order) and judge the rest. Features: lengths, depth, digit ratio, entropy of the characters, parameter counts, and the
-share of blocked training URLs by suffix and by file extension (smoothed by ten URLs of the overall share). Rules' own
+share of blocked training URLs by suffix and by file extension (smoothed by ten URLs of the overall share; a training
+URL's own label is left out of its shares). Rules' own
 host names and paths are no features.
 
 Defined cases: a null URL or one without ``://`` has empty host and path; without rules that fit (or of one verdict
@@ -103,18 +104,26 @@ def judge(
     def rates(key: str) -> DataFrame:
         # at most max_labelled rows, so the broadcast is bounded
         smooth = (F.sum("label") + SUFFIX_WEIGHT * total.rate) / (F.count("*") + SUFFIX_WEIGHT)
-        return scratch.save(known.groupBy(key).agg(smooth.alias(f"{key}_rate")).coalesce(1), key)
+        return scratch.save(known.groupBy(key).agg(smooth.alias(f"{key}_rate"), F.count("*").alias(f"{key}_n")).coalesce(1), key)
 
     tables = {key: rates(key) for key in ("suffix", "extension")}
     fill = lambda df: reduce(
-        lambda d, key: d.join(F.broadcast(tables[key]), key, "left").fillna({f"{key}_rate": total.rate}), tables, df
+        lambda d, key: d.join(F.broadcast(tables[key].drop(f"{key}_n")), key, "left").fillna({f"{key}_rate": total.rate}), tables, df
     )
+
+    def apart(df: DataFrame) -> DataFrame:
+        """Training rows with the rates of all other training rows, so that no tree sees a row's own label."""
+        for key in tables:
+            sums = F.col(f"{key}_rate") * (F.col(f"{key}_n") + SUFFIX_WEIGHT) - F.col("label")
+            df = df.join(F.broadcast(tables[key]), key).withColumn(f"{key}_rate", sums / (F.col(f"{key}_n") - 1 + SUFFIX_WEIGHT))
+        return df
+
     names = [*features, *(f"{key}_rate" for key in tables)]
     gather = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
     trees = GBTClassifier(
         labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=7, cacheNodeIds=False
     )
-    model = Pipeline(stages=[gather, trees]).fit(fill(known).select("label", *names).coalesce(4))
+    model = Pipeline(stages=[gather, trees]).fit(apart(known).select("label", *names).coalesce(4))
     scored = model.transform(fill(rows))
     score = F.when(F.col("ruled").isNull(), vector_to_array("probability")[1])
     method = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
