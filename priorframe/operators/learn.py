@@ -21,6 +21,10 @@ def season_folds(df: DataFrame, season: str) -> DataFrame:
     return pairs.join(F.broadcast(first), "valid_season").select("fold", "train_season", "valid_season")
 
 
+#: Rank error of the imputed medians: exact for up to 100,000 rows, and a bounded sketch beyond.
+MEDIAN_ERROR = 1e-5
+
+
 def ridge(alpha: float, n: int, label: str, features: str = "features", prediction: str = "prediction") -> LinearRegression:
     """Least squares with an L2 penalty alpha on the sum of squares: the library's objective is a mean, hence alpha / n."""
     return LinearRegression(
@@ -31,7 +35,7 @@ def ridge(alpha: float, n: int, label: str, features: str = "features", predicti
 def prepared(inputs: Sequence[str], impute: str = "median") -> list:
     """Stages from raw columns to a vector; imputation sees training rows only, or is the constant zero."""
     filled = [f"{c}__filled" for c in inputs]
-    stages = [Imputer(strategy="median", inputCols=list(inputs), outputCols=filled)] if impute == "median" else []
+    stages = [Imputer(strategy="median", relativeError=MEDIAN_ERROR, inputCols=list(inputs), outputCols=filled)] if impute == "median" else []
     return [*stages, VectorAssembler(inputCols=filled if impute == "median" else list(inputs), outputCol="features")]
 
 
@@ -40,13 +44,14 @@ def walk_forward(df: DataFrame, season: str, inputs: Sequence[str], label: str,
     parts = []
     for valid in seasons:
         train = df.where((F.col(season) < valid) & F.col(label).isNotNull())
-        n = train.count()
-        if n == 0:
+        seen = train.agg(F.count("*").alias("n"), F.max(season).alias("last")).first()
+        if seen.n == 0:
             continue
-        model = Pipeline(stages=[*prepared(inputs), learner(n)]).fit(train)
+        model = Pipeline(stages=[*prepared(inputs), learner(seen.n)]).fit(train)
         out = model.transform(df.where(F.col(season) == valid))
-        parts.append(out.select(*df.columns, "prediction", F.lit(valid - 1).cast("long").alias("max_train_season")))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(out.select(*df.columns, "prediction", F.lit(seen.last).cast("long").alias("max_train_season")))
+    none = df.limit(0).select("*", F.lit(None).cast("double").alias("prediction"), F.lit(None).cast("long").alias("max_train_season"))
+    return reduce(DataFrame.unionByName, parts or [none])
 
 
 def weighted_cell(predictions: dict[str, float], intercept: float) -> tuple[Column, Column]:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Name suffixes, in the order of their removal.
-SUFFIXES = (".", "'", ",", " jr", " sr", " iii", " ii", " iv")
+# Marks and name suffixes, in the order of their removal.
+SUFFIXES = (".", "'", "-", " jr", " sr", " iii", " ii", " iv")
 
 
 def normalize_name(name: Column) -> Column:
     """Lower case without the suffix tokens, white space collapsed."""
-    out = F.lower(name)
+    out = F.trim(F.lower(name))
     for token in SUFFIXES:
         out = F.replace(out, F.lit(token), F.lit(""))
     return F.trim(F.regexp_replace(out, r"\s+", " "))

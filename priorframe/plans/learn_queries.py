@@ -41,13 +41,13 @@ def l02(spark, sf_dir):
     return out.select("game", "season", F.round("prediction", 4).alias("prediction"), "max_train_season")
 
 
-@query("L03", f"WITH {EDGE}, m AS (SELECT quantile_disc(pred, 0.5) AS mid FROM edge WHERE season < 2000 AND qty IS NOT NULL) SELECT game, pred IS NULL AS imputed FROM edge WHERE season >= 2000 AND qty IS NOT NULL")
+@query("L03", f"WITH {EDGE}, m AS (SELECT quantile_disc(pred, 0.5) AS mid FROM edge WHERE season < 2000 AND qty IS NOT NULL) SELECT game, coalesce(pred, (SELECT mid FROM m)) AS filled, pred IS NULL AS imputed FROM edge WHERE season >= 2000 AND qty IS NOT NULL")
 def l03(spark, sf_dir):
     """Missing inputs filled with the medians of the training seasons."""
     rows = frame(spark, sf_dir)
     model = Pipeline(stages=L.prepared(INPUTS)).fit(rows.where("season < 2000"))
     out = model.transform(rows.where("season >= 2000"))
-    return out.select("game", (F.col("pred").isNull() & F.col("pred__filled").isNotNull()).alias("imputed"))
+    return out.select("game", F.col("pred__filled").alias("filled"), (F.col("pred").isNull() & F.col("pred__filled").isNotNull()).alias("imputed"))
 
 
 @query("L04")

@@ -57,11 +57,12 @@ def f05(spark, sf_dir):
     )
 
 
-@query("F06", "SELECT c_custkey, 'customer jones' || c_custkey AS name FROM customer")
+@query("F06", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'customerjones' WHEN 1 THEN 'customer jones' ELSE 'customer, jones' END || c_custkey AS name FROM customer")
 def f06(spark, sf_dir):
-    """Suffix tokens go, in an order that keeps the longer one whole."""
+    """Marks and suffix tokens go, in an order that keeps the longer one whole; a hyphen joins, a comma stays."""
     key = F.col("c_custkey").cast("string")
-    raw = F.concat(F.lit("Customer  J.O'nes"), key, F.when(F.col("c_custkey") % 2 == 0, " III").otherwise(" Jr."))
+    first = F.when(F.col("c_custkey") % 3 == 0, "Customer-").when(F.col("c_custkey") % 3 == 1, "Customer  ").otherwise(" Customer, ")
+    raw = F.concat(first, F.lit("J.O'nes"), key, F.when(F.col("c_custkey") % 2 == 0, " III").otherwise(" Jr."))
     return table(spark, sf_dir, "customer").select("c_custkey", normalize_name(raw).alias("name"))
 
 
