@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalar import expected_score, margin_multiplier, normal_quantile
 from ..sources.tables import Workspace
@@ -67,15 +68,16 @@ def rate(workspace: Workspace, games: DataFrame, rules: RatingRules = RatingRule
     games = workspace.save(games, "games")
     state = workspace.save(fresh_state(games, rules), "state-start")
     rounds = [(r.season, r.period) for r in games.select("season", "period").distinct().orderBy("season", "period").collect()]
-    history = None
     for season, period in rounds:
         now = games.where((F.col("season") == season) & (F.col("period") == period))
-        state = workspace.save(play_round(state, now, rules).coalesce(1), f"state-{season}-{period}")
-        seen = state.where("last_season is not null").select(F.lit(season).alias("season"), F.lit(period).alias("period"), "team", "off", "def")
-        history = seen if history is None else history.unionByName(seen)
-    if history is None:
+        # each round is a partition of one folder, so the history is one scan
+        at = f"history/season={season}/period={period}"
+        state = workspace.save(play_round(state, now, rules).coalesce(1), at)
+    if not rounds:
         return state.select("last_season", F.lit(None).cast("long").alias("period"), "team", "off", "def").withColumnRenamed("last_season", "season").limit(0)
-    return workspace.save(history.coalesce(8), "history")
+    schema = StructType([*state.schema.fields, StructField("season", LongType()), StructField("period", LongType())])
+    history = workspace.spark.read.schema(schema).parquet(f"{workspace.path}/history").where("last_season is not null")
+    return history.select("season", "period", "team", "off", "def")
 
 
 def implied_line(rating_gap: Column, sigma: float) -> Column:

@@ -27,19 +27,62 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(a, b) / longest))
 
 
+def _edits(n: Column, share: float) -> Column:
+    """The most edits that a name of this length may be away from one of its partners."""
+    return F.floor(share * F.floor(n / (1 - share) + 1e-9) + 1e-9).cast("int")
+
+
+def _piece(n: Column, pieces: Column, j: Column) -> tuple[Column, Column]:
+    """Start, from 0, and length of piece j of a name of length n."""
+    start = F.floor(j * n / pieces).cast("int")
+    return start, F.floor((j + 1) * n / pieces).cast("int") - start
+
+
+def _pieces(name: Column, share: float) -> Column:
+    """A name cut into one piece more than it may have edits, so that one piece of it is whole in every partner."""
+    n = F.length(name)
+    count = _edits(n, share) + 1
+
+    def cut(j: Column) -> Column:
+        start, size = _piece(n, count, j)
+        return F.struct(n.alias("n"), j.alias("j"), F.substring(name, start + 1, size).alias("piece"))
+
+    return F.transform(F.sequence(F.lit(0), count - 1), cut)
+
+
+def _probes(name: Column, share: float) -> Column:
+    """The pieces, of all lengths of partners and at all places that edits allow, that stand in a name."""
+    size = F.length(name)
+
+    def of_length(n: Column) -> Column:
+        k = _edits(n, share)
+
+        def of_piece(j: Column) -> Column:
+            start, width = _piece(n, k + 1, j)
+            shifts = F.filter(F.sequence(-k, k), lambda s: (start + s >= 0) & (start + s + width <= size))
+            return F.transform(shifts, lambda s: F.struct(n.alias("n"), j.alias("j"), F.substring(name, start + s + 1, width).alias("piece")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), k), of_piece))
+
+    low, high = F.ceil(size * (1 - share) - 1e-9).cast("int"), F.floor(size / (1 - share) + 1e-9).cast("int")
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1))), of_length)))
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str, right_id: str, least: float = 90.0) -> DataFrame:
-    """left with ``matched_id`` and ``match_score``: the equal name, else the most similar one of the same block.
+    """left with ``matched_id`` and ``match_score``: the equal name, else the most similar one of at least ``least``.
 
-    Names are compared inside blocks of equal first letter, on distinct names only; both tables must have distinct
-    ``right_id``. Ties go to the smaller id.
+    Only distinct names are compared, and only where a piece of one stands in the other near its place: a name cut into
+    one piece more than edits are allowed keeps a piece whole, so no match is lost. Ties go to the smaller id.
     """
+    share = (100 - least) / 100
     names = left.select(F.lower(left_name).alias("l")).where("l is not null").distinct()
     known = right.groupBy(F.lower(right_name).alias("r")).agg(F.min(right_id).alias("id")).where("r is not null")
     exact = names.join(known, names.l == known.r).select("l", "id", F.lit(100.0).alias("score"))
     rest = names.join(exact, "l", "left_anti")
-    blocked = rest.join(known, F.substring("l", 1, 1) == F.substring("r", 1, 1))
-    close = F.abs(F.length("l") - F.length("r")) <= (100 - least) / 100 * F.greatest(F.length("l"), F.length("r"))
-    scored = blocked.where(close).select("l", "id", similarity(F.col("l"), F.col("r")).alias("score")).where(F.col("score") >= least)
+    probes = rest.select("l", F.explode(_probes(F.col("l"), share)).alias("p")).select("l", "p.*")
+    pieces = known.select("r", "id", F.explode(_pieces(F.col("r"), share)).alias("p")).select("r", "id", "p.*")
+    pairs = probes.join(pieces, ["n", "j", "piece"]).select("l", "r", "id").distinct()
+    scored = pairs.select("l", "id", similarity(F.col("l"), F.col("r")).alias("score")).where(F.col("score") >= least)
     best = scored.groupBy("l").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("m")).select("l", "m.*")
     found = exact.unionByName(best).select("l", F.col("id").alias("matched_id"), F.col("score").alias("match_score"))
     return left.withColumn("l", F.lower(left_name)).join(found, "l", "left").drop("l")

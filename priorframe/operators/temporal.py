@@ -29,10 +29,10 @@ def trailing_mean(df: DataFrame, value: str, n: int, partition: Sequence[str], o
     """Mean of the last n rows, nulls counting as rows; with skip_null, of the last n rows that have a value."""
     if not skip_null:
         return df.withColumn(out, F.avg(value).over(prior_window(partition, order, n)))
-    w = prior_window(partition, order)
-    last = F.slice(F.reverse(F.collect_list(value).over(w)), 1, n)
-    total = F.aggregate(last, F.lit(0.0), lambda a, x: a + x)
-    return df.withColumn(out, F.when(F.size(last) > 0, total / F.size(last)))
+    # the mean up to each row that has a value, among those rows alone, is carried to the rows after it
+    there = Window.partitionBy(*partition, F.col(value).isNull()).orderBy(*order).rowsBetween(1 - n, 0)
+    rows = df.withColumn("__mean", F.when(F.col(value).isNotNull(), F.avg(value).over(there)))
+    return rows.withColumn(out, F.last("__mean", ignorenulls=True).over(prior_window(partition, order))).drop("__mean")
 
 
 def asof_join(

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators.resolve import align_inputs, co_movement, fuzzy_match, merge_one_to_one, resolve_ids
 from ..operators.temporal import asof_join, lag_join, latest_per_key, period_spine, prior_values
+from ..sources.tables import Workspace
 from .facts import FACT, MONTHS, PLAYS, facts, months, plays, table
 from .registry import query
 
@@ -86,10 +87,10 @@ def p09(spark, sf_dir):
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
-@query("J01", "SELECT o_orderkey, o_custkey, event_id FROM orders JOIN events ON o_custkey = user_id AND o_orderkey % 100 = event_id % 100")
+@query("J01", "SELECT o_orderkey, o_custkey, event_id FROM orders JOIN events ON o_custkey = user_id AND date_part('day', o_orderdate) = date_part('day', ts)")
 def j01(spark, sf_dir):
     orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
-    same = (orders.o_custkey == events.user_id) & (orders.o_orderkey % 100 == events.event_id % 100)
+    same = (orders.o_custkey == events.user_id) & (F.dayofmonth(orders.o_orderdate) == F.dayofmonth(events.ts))
     return orders.join(events, same).select("o_orderkey", "o_custkey", "event_id")
 
 
@@ -107,10 +108,10 @@ b AS (SELECT receiver, game, sum(yards) AS acc FROM plays WHERE location = 'A' G
 SELECT receiver, game, ret, acc, n FROM a FULL JOIN b USING (receiver, game) FULL JOIN c USING (receiver, game)""")
 def j03(spark, sf_dir):
     """Three aggregates of one scan on one key: conditional sums, null where the kind does not occur."""
-    rows = plays(spark, sf_dir)
-    part = lambda k, c: rows.where(F.col("location") == k).groupBy("receiver", "game").agg(c)
-    parts = part("R", F.sum("yards").alias("ret")), part("A", F.sum("yards").alias("acc")), part("N", F.count("*").alias("n"))
-    return parts[0].join(parts[1], ["receiver", "game"], "full").join(parts[2], ["receiver", "game"], "full").select("receiver", "game", "ret", "acc", "n")
+    at = lambda k: F.col("location") == k
+    yards = lambda k: F.sum(F.when(at(k), F.col("yards")))
+    rows = plays(spark, sf_dir).where(F.col("location").isin("R", "A", "N")).groupBy("receiver", "game")
+    return rows.agg(yards("R").alias("ret"), yards("A").alias("acc"), F.nullif(F.count_if(at("N")), F.lit(0)).alias("n"))
 
 
 ROUND = """team_rev AS (SELECT season, period, team, sum(cents)::BIGINT AS cents, count(*) AS games FROM fact GROUP BY ALL),
@@ -244,7 +245,7 @@ def j17(spark, sf_dir):
 @query("J18", """WITH n AS (SELECT DISTINCT lower(p_name) AS l FROM part UNION SELECT DISTINCT lower(p_name) || 's' FROM part),
 k AS (SELECT lower(p_name) AS r, min(p_partkey) AS id FROM part GROUP BY 1),
 e AS (SELECT l, id, 100.0::DOUBLE AS score FROM n JOIN k ON l = r),
-s AS (SELECT l, id, 100.0 * (1 - levenshtein(l, r) / greatest(length(l), length(r))) AS score FROM n JOIN k ON l[1] = r[1] WHERE l NOT IN (SELECT l FROM e)),
+s AS (SELECT l, id, 100.0 * (1 - levenshtein(l, r) / greatest(length(l), length(r))) AS score FROM n JOIN k ON abs(length(l) - length(r)) <= 0.1 * greatest(length(l), length(r)) WHERE l NOT IN (SELECT l FROM e)),
 b AS (SELECT * FROM s WHERE score >= 90 QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, id) = 1)
 SELECT n.l AS name, m.id AS matched_id, m.score AS match_score FROM n LEFT JOIN (SELECT * FROM e UNION ALL SELECT * FROM b) m USING (l)""")
 def j18(spark, sf_dir):
@@ -283,7 +284,7 @@ def j20(spark, sf_dir):
 def j21(spark, sf_dir):
     """Inputs joined one by one; the third would lose over half of the rows and is left out."""
     keys = ["entity", "season", "period"]
-    month = months(facts(spark, sf_dir)).select(*keys, "lines").cache()
+    month = Workspace(spark, "align").save(months(facts(spark, sf_dir)).select(*keys, "lines"), "months")
     inputs = {"a": month.select(*keys), "b": month.where("lines is not null").select(*keys), "c": month.where("lines > 14").select(*keys)}
     return align_inputs(inputs, keys)[0].select(*keys)
 

@@ -13,7 +13,7 @@ from ..operators.rank import average_rank, hit_rate, points_lost
 from ..operators.resolve import co_movement
 from ..operators.temporal import lag_join
 from .aggregate_queries import CELLS, EDGE, WINS, cells, edges, team_wins
-from .facts import FACT, facts
+from .facts import FACT, facts, table
 from .rank_queries import BOARD, board
 from .registry import query
 from .scalar_queries import CDF_SQL, ODDS, odds
@@ -221,9 +221,10 @@ def m20(spark, sf_dir):
     return rows.groupBy("play").agg(F.round(F.avg((p - y) * (p - y)), 6).alias("brier"), F.round(F.avg(log_loss), 6).alias("log_loss"), F.avg(right).alias("accuracy"))
 
 
-@query("M21", f"WITH {EDGE} SELECT season, round(avg(abs(qty - pred)), 6) AS model, round(avg(abs(qty - naive)), 6) AS line, count(*) AS lined FROM edge WHERE {KEEP} AND game % 3 <> 0 GROUP BY season")
+@query("M21", f"WITH {EDGE} SELECT season, round(avg(abs(qty - pred)), 6) AS model, round(avg(abs(qty - naive)), 6) AS line, count(*) AS lined FROM edge WHERE {KEEP} AND game IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY season")
 def m21(spark, sf_dir):
-    rows = _good(spark, sf_dir).where("game % 3 <> 0")
+    lined = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("game"))
+    rows = _good(spark, sf_dir).join(lined, "game", "left_semi")
     mae = lambda c: F.round(F.avg(F.abs(F.col("qty") - F.col(c))), 6)
     return rows.groupBy("season").agg(mae("pred").alias("model"), mae("naive").alias("line"), F.count("*").alias("lined"))
 

@@ -66,7 +66,7 @@ def v06(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("V08", f"WITH {MONTHS} SELECT * FROM (SELECT 'lines' AS \"column\", count(lines) AS comparable, true AS leaks FROM months UNION ALL SELECT 'cents', count(cents), false FROM months)")
+@query("V08", f"WITH {MONTHS} , f AS (SELECT entity, season, period, lines AS f_lines, cents - 1 AS f_cents FROM months), b AS (SELECT * FROM months JOIN f USING (entity, season, period)) SELECT 'lines' AS \"column\", count(*) FILTER (WHERE lines IS NOT NULL AND f_lines IS NOT NULL) AS comparable, coalesce(bool_and(lines = f_lines), false) AS leaks FROM b UNION ALL SELECT 'cents', count(*) FILTER (WHERE cents IS NOT NULL AND f_cents IS NOT NULL), coalesce(bool_and(cents = f_cents), false) FROM b")
 def v08(spark, sf_dir):
     """A feature equal to its outcome wherever both are known is a leak."""
     rows = months(facts(spark, sf_dir))
@@ -99,10 +99,14 @@ def v11(spark, sf_dir):
     return rows.groupBy(F.col("l_returnflag").alias("source")).agg(F.count("*").alias("late"))
 
 
-@query("V12", f"WITH {FACT} SELECT season, count(*) AS n, max(season - 1) AS max_train_season FROM fact GROUP BY season")
+@query("V12", f"WITH {FACT} SELECT a.season, count(*) AS n, (SELECT max(b.season) FROM fact b WHERE b.season < a.season) AS max_train_season FROM fact a WHERE a.season > (SELECT min(season) FROM fact) GROUP BY a.season")
 def v12(spark, sf_dir):
     """Predictions must come from models of earlier seasons; a missing stamp is refused."""
-    rows = facts(spark, sf_dir).withColumn("max_train_season", F.col("season") - 1)
+    fact = facts(spark, sf_dir)
+    seasons = fact.select("season").distinct()
+    # seasons are few; each with the latest one before it, the first with none and without predictions
+    stamps = seasons.join(seasons.withColumnRenamed("season", "seen"), F.col("seen") < F.col("season")).groupBy("season").agg(F.max("seen").alias("max_train_season"))
+    rows = fact.join(F.broadcast(stamps), "season")
     cells_ = rows.groupBy("season").agg(
         F.count("*").alias("n"), F.max("max_train_season").alias("max_train_season"), F.count_if(F.col("max_train_season").isNull() | (F.col("max_train_season") >= F.col("season"))).alias("bad")
     )
@@ -209,7 +213,7 @@ def v25(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(age.alias("age_days")).withColumn("fresh", F.col("age_days") <= 7)
 
 
-@query("V27", CELLS + " SELECT grp, count(*) FILTER (WHERE model < base) AS recomputed, true AS agrees FROM c GROUP BY grp")
+@query("V27", CELLS + ", s AS (SELECT grp, count(*) FILTER (WHERE model < base) AS stored FROM c GROUP BY grp), w AS (SELECT grp, season, sum(abs(qty - pred)) < sum(abs(qty - naive)) AS won FROM edge WHERE qty IS NOT NULL AND pred IS NOT NULL AND naive IS NOT NULL GROUP BY ALL), a AS (SELECT grp, count(*) FILTER (WHERE won) AS recomputed FROM w GROUP BY grp) SELECT grp, recomputed, stored IS NOT DISTINCT FROM recomputed AS agrees FROM s FULL JOIN a USING (grp)")
 def v27(spark, sf_dir):
     """A stored summary against the same summary recomputed from the rows it came from."""
     stored = cells(spark, sf_dir).groupBy("grp").agg(F.count_if(F.col("model") < F.col("base")).alias("stored"))

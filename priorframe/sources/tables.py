@@ -24,6 +24,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         app = spark.sparkContext.applicationId
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not root and app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="priorframe-")
         root = root or _LOCAL[app]

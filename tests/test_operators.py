@@ -1,6 +1,7 @@
 """Operators on small literal tables: quirks, flips of later rows, and guards."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,38 @@ def test_parsers(spark):
     assert [r.n for r in df.select(resolve.normalize_name(F.col("n")).alias("n")).collect()] == ["dj oneil", "ann lee"]
 
 
+def test_hyphens_join_and_commas_stay(spark):
+    df = frame(spark, [("Smith-Jones",), ("SmithJones",), (" Lee, Ann Sr.",)], "n string")
+    assert [r.n for r in df.select(resolve.normalize_name(F.col("n")).alias("n")).collect()] == ["smithjones", "smithjones", "lee, ann"]
+
+
+def test_fuzzy_names_lose_no_match(spark):
+    rng = random.Random(7)
+    known = {k: "".join(rng.choice("abc ") for _ in range(rng.randint(1, 32))) for k in range(60)}
+    asked = []
+    for name in known.values():
+        for _ in range(3):
+            x = list(name)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+            asked.append("".join(x))
+
+    def score(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return 100.0 * (1 - row[-1] / max(len(a), len(b))) if a or b else 100.0
+
+    left = frame(spark, [(x,) for x in sorted(set(asked))], "name string")
+    right = frame(spark, [(k, n) for k, n in known.items()], "id long, known string")
+    for r in resolve.fuzzy_match(left, right, "name", "known", "id").collect():
+        best = max(((score(r.name, n), -k) for k, n in known.items()), default=(0, 0))
+        assert (r.matched_id, r.match_score) == ((-best[1], pytest.approx(best[0])) if best[0] >= 90 else (None, None)), r
+
+
 def test_quarantine_splits_and_names_rules(spark):
     df = frame(spark, [(1, 5.0), (2, None), (None, 1.0)], "id long, v double")
     valid, rejected = quality.quarantine(df, {"id": F.col("id").isNotNull(), "v": F.col("v") > 2}, "s")
