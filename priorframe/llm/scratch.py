@@ -1,7 +1,7 @@
 """Written tables that cut lineage, in the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that setting is absent (tests, notebooks) a
-temporary folder of this machine is used. A written table is read back from shared storage, so losing an executor
+The folder is the session's ``spark.checkpoint.dir``. Where that setting is absent, a local session (tests, notebooks)
+uses a temporary folder of this machine and a cluster's is refused. A written table is read back from shared storage, so losing an executor
 afterwards repeats no earlier work.
 """
 
@@ -19,6 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="priorframe-")
