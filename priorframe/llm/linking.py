@@ -31,7 +31,9 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc") -
     label, so the number of rounds grows with the logarithm of a component's diameter in practice.
     """
     pairs = edges.where(F.col("a") != F.col("b")).select("a", "b")
-    links = scratch.save(pairs.union(pairs.select("b", "a")).distinct(), f"{name}-links")
+    # both directions from one evaluation: a union would test every edge twice
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    links = scratch.save(pairs.select(ways.alias("way")).select("way.a", "way.b").distinct(), f"{name}-links")
     labels = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low"))
     labels = scratch.save(labels.select("id", F.least("id", "low").alias("comp")), f"{name}-0")
     for k in range(1, MAX_ROUNDS):
