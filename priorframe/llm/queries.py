@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, license_scan, line_dedup, quality, simhash_dedup, toxicity, url_filter, vantage_point, warc
+from . import bpe, decontamination, hard_negatives, license_scan, line_dedup, quality, simhash_dedup, toxicity, url_filter, vantage_point, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 RULES = [
@@ -73,15 +73,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five positives of every hundredth vector."""
+    return hard_negatives.hard_negatives(hard_negatives.relabel(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_line_dedup, op3_warc, op4_nearest, op5_url_filter, op6_bpe, op7_quality, op8_simhash,
-        op9_licenses, op10_toxicity,
+        op9_licenses, op10_toxicity, op11_hard_negatives,
     )
 }
 
-#: The pruning factor is one, so the nearest-neighbour search is exact. The other results hold hashes, models' scores or
+#: Both vector searches are exact (the pruning factor of the first is one). The other results hold hashes, models' scores or
 #: components that SQL cannot state; they are tested against brute force.
 ORACLES: dict[str, str] = {
     "op4_nearest": """WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) AS x FROM embeddings
@@ -89,5 +94,14 @@ ORACLES: dict[str, str] = {
  AND len(list_filter(embedding, lambda e: e <> 0)) > 0 GROUP BY vec_id),
 d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM d
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10"""
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10""",
+    "op11_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.x) = len(c.x) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) <= 5""",
 }
