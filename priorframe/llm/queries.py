@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, hard_negatives, license_scan, line_dedup, quality, simhash_dedup, toxicity, url_filter, vantage_point, warc
+from . import bpe, cross_tokenizer, decontamination, hard_negatives, license_scan, line_dedup, quality, simhash_dedup, toxicity, url_filter, vantage_point, warc
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 RULES = [
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
@@ -78,11 +79,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(hard_negatives.relabel(_table(spark, sf_dir, "embeddings")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links of the tokens of two tokenizers."""
+    return cross_tokenizer.align(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_line_dedup, op3_warc, op4_nearest, op5_url_filter, op6_bpe, op7_quality, op8_simhash,
         op9_licenses, op10_toxicity, op11_hard_negatives,
+        op12_token_alignment,
     )
 }
 
