@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_tokenizer, decontamination, hard_negatives, license_scan, line_dedup, quality, simhash_dedup, toxicity, url_filter, vantage_point, warc
+from . import bpe, cross_tokenizer, decontamination, hard_negatives, license_scan, line_dedup, quality, secret_scan, simhash_dedup, toxicity, url_filter, vantage_point, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
 RULES = [
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
@@ -84,12 +85,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_tokenizer.align(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: three patterns, and random strings by their characters a token."""
+    return secret_scan.digest_rows(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_line_dedup, op3_warc, op4_nearest, op5_url_filter, op6_bpe, op7_quality, op8_simhash,
         op9_licenses, op10_toxicity, op11_hard_negatives,
-        op12_token_alignment,
+        op12_token_alignment, op13_secrets,
     )
 }
 
