@@ -42,13 +42,18 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - tail).otherwise(tail)
 
 
+# The published coefficients of the rational fit of the inverse normal distribution.
+QUANTILE_TERMS = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572),
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416),
+)
+
+
 def normal_quantile(q: Column) -> Column:
     """Inverse of the standard normal distribution function, relative error below 1.2e-9; null outside (0, 1)."""
-    # The published coefficients of the rational fit.
-    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
-    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
-    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+    a, b, c, d = QUANTILE_TERMS
 
     def horner(x: Column, terms: Sequence[float]) -> Column:
         out = F.lit(terms[0])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import normal_cdf
+from .ordered import ordinals
 
 
 def both_present(*columns: str) -> Column:
@@ -59,23 +60,10 @@ def coverage(actual: str, low: str, high: str) -> Column:
     return F.avg(F.col(actual).between(F.col(low), F.col(high)).cast("double"))
 
 
-def causal_residual_quantiles(df: DataFrame, season: str, residual: str, probabilities: Sequence[float], least: int, by: Sequence[str] = ()) -> DataFrame:
-    """Interpolated quantiles of the residuals of strictly earlier seasons, per season (and key) with enough of them.
-
-    The rows meet the seasons after theirs; seasons are few, so a row is repeated a few times.
-    """
-    seasons = df.select(F.col(season).alias("__target")).distinct()
-    earlier = df.where(F.col(residual).isNotNull()).join(F.broadcast(seasons), F.col(season) < F.col("__target"))
-    q = F.percentile(residual, F.array(*map(F.lit, probabilities)))
-    found = earlier.groupBy(F.col("__target").alias(season), *by).agg(q.alias("q"), F.count("*").alias("n_residuals"))
-    return found.where(F.col("n_residuals") >= least)
-
-
 def order_statistic_radius(df: DataFrame, keys: Sequence[str], residual: str, share: float, least: int) -> DataFrame:
     """The ceil((n+1) share)-th smallest absolute residual per key, n at least ``least``; no interpolation."""
-    w = Window.partitionBy(*keys)
-    rows = df.where(F.col(residual).isNotNull()).withColumn("__abs", F.abs(residual)).withColumn("__n", F.count("*").over(w))
-    rows = rows.withColumn("__place", F.row_number().over(w.orderBy("__abs")))
+    rows = df.where(F.col(residual).isNotNull()).select(*keys, F.abs(residual).alias("__abs"))
+    rows = ordinals(rows, keys, ["__abs"], "__place", "__n")
     wanted = F.least(F.ceil((F.col("__n") + 1) * share), F.col("__n"))
     return rows.where((F.col("__n") >= least) & (F.col("__place") == wanted)).select(*keys, F.col("__abs").alias("radius"))
 

@@ -8,37 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def average_rank(partition: Sequence[str], order: Column, value: str) -> Column:
-    """Rank where ties share the mean of their places."""
-    ties = F.count("*").over(Window.partitionBy(*partition, value))
-    return F.rank().over(Window.partitionBy(*partition).orderBy(order)) + (ties - 1) / F.lit(2.0)
+from .ordered import ordinals
 
 
 def ordinal(partition: Sequence[str], *order: Column | str) -> Column:
-    """Row number as a long."""
+    """Row number as a long, for groups that are small by nature; :func:`ordered.ordinals` numbers groups of any size."""
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long")
 
 
-def global_ordinal(df: DataFrame, out: str, *order: Column | str, shards: int = 64) -> DataFrame:
-    """Row numbers over the whole table without one task that sorts it all.
-
-    Rows are dealt to ranges by a range partitioning, numbered inside each, and shifted by the sizes of the ranges
-    before, of which there are ``shards`` at most.
-    """
-    dealt = df.repartitionByRange(shards, *order).withColumn("__part", F.spark_partition_id())
-    rows = dealt.withColumn("__no", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
-    return rows.join(F.broadcast(starts), "__part").withColumn(out, (F.col("__no") + F.col("__start")).cast("long")).drop("__part", "__no", "__start")
+def global_ordinal(df: DataFrame, out: str, *order: Column | str) -> DataFrame:
+    """Row numbers over the whole table without one task that sorts it all."""
+    return ordinals(df, (), order, out)
 
 
 def replacement_levels(df: DataFrame, position: str, value: str, tie: str, slots: dict[str, int], flex: Sequence[str], flex_slots: int) -> DataFrame:
     """``(position, replacement)``: the best value left per position once the slots and then the flex slots are filled."""
     starters = F.create_map(*(F.lit(x) for pair in slots.items() for x in pair))
-    best = Window.partitionBy(position).orderBy(F.desc_nulls_last(value), tie)
-    ranked = df.withColumn("__rank", F.row_number().over(best))
+    ranked = ordinals(df.select(position, value, tie), (position,), [F.desc_nulls_last(value), F.col(tie)], "__rank")
     rest = ranked.where(F.col("__rank") > F.coalesce(F.try_element_at(starters, F.col(position)), F.lit(0)))
     pool = rest.where(F.col(position).isin(*flex) & F.col(value).isNotNull()).orderBy(F.desc_nulls_last(value), tie).limit(flex_slots)
     left = rest.join(pool.select(tie), tie, "left_anti")

@@ -92,20 +92,33 @@ def run_length(df: DataFrame, state: str, partition: Sequence[str], order: Seque
     return rows.withColumn(out, F.coalesce(F.lag("__run").over(w), F.lit(0))).drop("__island", "__run")
 
 
-def kalman_prior(series: Column, q: float, default_r: float, p0: float) -> Column:
-    """Posterior ``(mean, variance)`` of a scalar filter over an array of values, oldest first.
-
-    The observation variance is the sample variance of the array itself, or ``default_r`` below two values or at zero.
-    """
-    n = F.size(series)
-    mean = F.aggregate(series, F.lit(0.0), lambda a, x: a + x) / n
-    square = F.aggregate(series, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    r = F.when((n > 1) & (square > 0), square / (n - 1)).otherwise(F.lit(default_r))
-    first = F.struct(F.element_at(series, 1).cast("double").alias("mean"), F.lit(p0).alias("var"))
+def kalman_fold(values: Column, start: Column, r: Column, q: float, p0: float) -> Column:
+    """Posterior ``(mean, var)`` of a scalar filter over an array of values, oldest first, from the prior ``(start, p0)``."""
 
     def step(acc: Column, x: Column) -> Column:
         var = acc["var"] + q
         gain = var / (var + r)
         return F.struct((acc["mean"] + gain * (x - acc["mean"])).alias("mean"), ((1 - gain) * var).alias("var"))
 
-    return F.when(n > 0, F.aggregate(F.slice(series, 2, F.greatest(n - 1, F.lit(0))), first, step))
+    return F.aggregate(values, F.struct(start.cast("double").alias("mean"), F.lit(p0).alias("var")), step)
+
+
+def filtered_form(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, prior: Column, q: float, default_r: float, p0: float, out: str, least_r: float = 1e-6
+) -> DataFrame:
+    """df with the filtered level before each row of a key: ``out`` with the posterior mean and variance.
+
+    The filter starts from a prior mean and variance p0 and takes in every earlier row; a null counts as the prior mean. The
+    observation variance is the sample variance of the earlier values (at least ``least_r``), or ``default_r`` below two
+    values. Without earlier rows the answer is the prior. The variance changes with every row, so each row folds its
+    earlier ones anew; a key's rows (one season of one entity) are one short array, built once.
+    """
+    before = prior_window(keys, order)
+    r = F.when(F.count(value).over(before) >= 2, F.greatest(F.var_samp(value).over(before), F.lit(least_r))).otherwise(F.lit(default_r))
+    names = [c for c in df.columns if c not in (*keys, *order)]
+    rows = df.withColumns({"__prior": prior.cast("double"), "__r": r})
+    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *names, "__prior", "__r"))).alias("__rows"))
+    filled = F.transform("__rows", lambda x: F.coalesce(x[value].cast("double"), x["__prior"]))
+    folded = lambda x, k: F.struct(x.alias("row"), kalman_fold(F.slice(filled, 1, k), x["__prior"], x["__r"], q, p0).alias("form"))
+    each = listed.select(*keys, F.explode(F.transform("__rows", folded)).alias("__x"))
+    return each.select(*(F.col(c) if c in keys else F.col(f"__x.row.{c}").alias(c) for c in df.columns), F.col("__x.form").alias(out))

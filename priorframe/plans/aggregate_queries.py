@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.aggregate import mode_per_key, ratio, recency_mean, share_of, shrunk_means
-from ..operators.rank import global_ordinal
+from ..operators.ordered import exact_quantiles, null_safe_join, ordinals, tile
 from ..operators.temporal import prior_values, prior_window
+from ..sources.tables import Workspace
 from .facts import FACT, MONTHS, PLAYS, facts, months, plays, table
 from .join_queries import ROUND, team_rounds
 from .registry import query
@@ -229,12 +230,7 @@ SELECT coalesce(grp, '*') AS grp, coalesce(bin, 0) AS bin, sum(total) / sum(game
 def a23(spark, sf_dir):
     """Curve by group and quantile bin, by bin, and overall, from one aggregation; bins by exact cut ranks."""
     rows = facts(spark, sf_dir).groupBy("entity", "grp").agg(F.sum("qty").alias("total"), F.count("*").alias("games")).where("total is not null")
-    ranked = global_ordinal(rows, "place", "total", "entity")
-    n = rows.agg(F.count("*").alias("all"))
-    size, extra = F.floor(F.col("all") / 4), F.col("all") % 4
-    large = extra * (size + 1)
-    bin_ = F.when(F.col("place") <= large, F.floor((F.col("place") - 1) / (size + 1)) + 1).otherwise(extra + F.floor((F.col("place") - 1 - large) / size) + 1)
-    binned = ranked.crossJoin(F.broadcast(n)).withColumn("bin", bin_.cast("long"))
+    binned = ordinals(rows, (), ["total", "entity"], "place", "all").withColumn("bin", tile("place", "all", 4))
     cells = binned.groupingSets([["grp", "bin"], ["bin"], []], "grp", "bin").agg((F.sum("total") / F.sum("games")).alias("rate"), F.count("*").alias("n"))
     return cells.select(F.coalesce("grp", F.lit("*")).alias("grp"), F.coalesce("bin", F.lit(0).cast("long")).alias("bin"), "rate", "n")
 
@@ -348,9 +344,15 @@ def edges(spark, sf_dir):
 SELECT coalesce(grp, '*') AS grp, coalesce(season, 0) AS season, round(avg(e), 6) AS mean, round(median(e), 6) AS median, count(*) FILTER (WHERE e > 0) AS over, count(*) FILTER (WHERE e < 0) AS under FROM d GROUP BY GROUPING SETS ((season), (grp, season))""")
 def a29(spark, sf_dir):
     rows = edges(spark, sf_dir).withColumn("e", F.col("qty") - F.col("pred")).where("e is not null")
+    rows = Workspace(spark, "signed").save(rows.select("grp", "season", "e"), "rows")
     cells = rows.groupingSets([["season"], ["grp", "season"]], "grp", "season").agg(
-        F.round(F.avg("e"), 6).alias("mean"), F.round(F.median("e"), 6).alias("median"), F.count_if(F.col("e") > 0).alias("over"), F.count_if(F.col("e") < 0).alias("under")
+        F.round(F.avg("e"), 6).alias("mean"), F.count_if(F.col("e") > 0).alias("over"), F.count_if(F.col("e") < 0).alias("under")
     )
+    # a row is in its season's cell and in its group's
+    cell = F.explode(F.array(F.struct(F.lit(None).cast("string").alias("grp"), "season"), F.struct("grp", "season")))
+    both = lambda df: df.select(cell.alias("cell"), "e", "__c", "__part").select("cell.*", "e", "__c", "__part")
+    middle = exact_quantiles(rows, ["grp", "season"], "e", (0.5,), members=both)
+    cells = null_safe_join(cells, middle.select("grp", "season", F.round(F.col("q")[0], 6).alias("median")), ["grp", "season"])
     return cells.select(F.coalesce("grp", F.lit("*")).alias("grp"), F.coalesce("season", F.lit(0).cast("long")).alias("season"), "mean", "median", "over", "under")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.quality import quarantine
-from ..operators.temporal import kalman_prior, prior_values, prior_window, safe_ratio
+from ..operators.temporal import filtered_form, prior_values, prior_window, safe_ratio
 from ..sources.tables import Workspace
 from .aggregate_queries import a12, a13, a17, a24, a25
 from .facts import FACT, PLAYS, facts, plays, table
@@ -15,7 +15,7 @@ from .join_queries import SEVERITY, j04, j10, u10
 from .metric_queries import m10, m11, m16
 from .rank_queries import t03, t04, t07, t08, t09, t10
 from .registry import ORACLES, query
-from .window_queries import KALMAN, w02, w09, w10, w11, w12, w15
+from .window_queries import KALMAN, prior_of, w02, w09, w10, w11, w12, w15
 
 KEYS = ["entity", "season", "period", "game"]
 SEASON, ORDER = ("entity", "season"), ("period", "game")
@@ -35,8 +35,6 @@ def entity_features(fact: DataFrame) -> DataFrame:
     active = F.max(F.when(F.col("lines") >= 3, F.col("period"))).over(before)
     trend = F.last("qty", ignorenulls=True).over(before) - F.first("qty", ignorenulls=True).over(before)
     carried = F.last(F.when(F.col("returned") > 0, F.struct("qty", "lines")), ignorenulls=True).over(before)
-    # a season of one entity is short, so its earlier values are a short array
-    seen = F.collect_list("qty").over(before)
     rows = fact.select(
         *KEYS, "grp", "team", F.avg(kept("qty")).over(before).alias("mean_qty"),
         safe_ratio(F.sum(kept("returned")).over(before), F.sum(kept("lines")).over(before)).alias("return_rate"),
@@ -44,11 +42,11 @@ def entity_features(fact: DataFrame) -> DataFrame:
         (F.lag("qty", 1).over(season) - F.coalesce(F.lag("qty", 3).over(season), F.lag("qty", 2).over(season))).alias("trend_3"),
         F.when(F.count("qty").over(before) >= 2, trend).alias("trend_all"), F.lag("qty").over(career).alias("prior_qty"),
         (F.row_number().over(career) - 1).cast("long").alias("prior_games"), (F.col("period") - 1 - F.coalesce(active, F.lit(0))).alias("missed"),
-        carried.alias("carried"), seen.alias("seen"),
+        carried.alias("carried"), "qty",
     )
-    rows = rows.withColumn("form", kalman_prior(F.col("seen"), *KALMAN))
+    rows = filtered_form(rows, SEASON, ORDER, "qty", prior_of(), *KALMAN, "form")
     numbers = [F.col("carried.qty").alias("carried_qty"), F.col("carried.lines").alias("carried_lines"), F.round("form.mean", 6).alias("form"), F.round("form.var", 6).alias("form_var")]
-    return rows.select(*[c for c in rows.columns if c not in ("carried", "seen", "form")], *numbers)
+    return rows.select(*[c for c in rows.columns if c not in ("carried", "qty", "form")], *numbers)
 
 
 ENTITY_SQL = " JOIN ".join(

@@ -9,9 +9,11 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..operators import metrics as M
-from ..operators.rank import average_rank, hit_rate, points_lost
+from ..operators.ordered import average_ranks, causal_quantiles, exact_quantiles, null_safe_join
+from ..operators.rank import hit_rate, points_lost
 from ..operators.resolve import co_movement
 from ..operators.temporal import lag_join
+from ..sources.tables import Workspace
 from .aggregate_queries import CELLS, EDGE, WINS, cells, edges, team_wins
 from .facts import FACT, facts, table
 from .rank_queries import BOARD, board
@@ -74,12 +76,15 @@ def m07(spark, sf_dir):
  round((avg(abs(naive - qty)) - avg(abs(pred - qty))) / avg(abs(naive - qty)) * 100, 5) AS improvement, round(avg((abs(qty - pred) <= 40)::INTEGER), 6) AS covered, round(corr(qty, pred), 6) AS rho, max(abs(pred - qty)) AS worst, round(median(abs(pred - qty)), 6) AS median_error
  FROM edge WHERE {KEEP} GROUP BY season, grp HAVING count(*) >= 2""")
 def m08(spark, sf_dir):
-    """Ten metrics per season and group from one aggregation."""
+    """Ten metrics per season and group: nine from one aggregation, the median from counted ranges."""
+    saved = Workspace(spark, "backtest").save(_good(spark, sf_dir).select("season", "grp", "qty", "pred", "naive"), "rows")
     gap, naive = F.abs(F.col("pred") - F.col("qty")), F.avg(F.abs(F.col("naive") - F.col("qty")))
-    rows = _good(spark, sf_dir).groupBy("season", "grp").agg(
+    rows = saved.groupBy("season", "grp").agg(
         F.count("*").alias("n"), *M.error_metrics("qty", "pred"), naive.alias("naive_mae"), F.avg((gap <= 40).cast("int")).alias("covered"), F.corr("qty", "pred").alias("rho"),
-        F.max(gap).alias("worst"), F.median(gap).alias("median_error"),
+        F.max(gap).alias("worst"),
     ).where("n >= 2")
+    middle = exact_quantiles(saved.select("season", "grp", gap.alias("gap")), ["season", "grp"], "gap", (0.5,))
+    rows = null_safe_join(rows, middle.select("season", "grp", F.col("q")[0].alias("median_error")), ["season", "grp"])
     better = F.round((F.col("naive_mae") - F.col("mae")) / F.col("naive_mae") * 100, 5).alias("improvement")
     return rows.select("season", "grp", "n", "worst", better, *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "bias", "naive_mae", "covered", "rho", "median_error")))
 
@@ -135,29 +140,35 @@ RES = f"""{EDGE}, res AS (SELECT grp, season, game, pred, qty, qty - pred AS r F
 SELECT game, round(pred + lo, 6) AS low, round(pred + hi, 6) AS high FROM res JOIN q USING (season)""")
 def m12(spark, sf_dir):
     """Bounds from residuals of earlier seasons only."""
-    rows = _good(spark, sf_dir).withColumn("r", F.col("qty") - F.col("pred"))
-    q = M.causal_residual_quantiles(rows, "season", "r", (0.1, 0.9), 20)
+    rows = _good(spark, sf_dir).select("game", "season", "pred", (F.col("qty") - F.col("pred")).alias("r"))
+    rows = Workspace(spark, "bounds").save(rows, "rows")
+    q = causal_quantiles(rows, "season", "r", (0.1, 0.9), 20)
     joined = rows.join(F.broadcast(q), "season")
     return joined.select("game", F.round(F.col("pred") + F.col("q")[0], 6).alias("low"), F.round(F.col("pred") + F.col("q")[1], 6).alias("high"))
 
 
 @query("M13", f"""WITH {RES}, cuts AS (SELECT target AS season, quantile_cont(pred, [0.2, 0.4, 0.6, 0.8]) AS c FROM res JOIN tgt ON res.season < target GROUP BY 1 HAVING count(*) >= 100),
-b AS (SELECT r.*, t.season AS target, len(list_filter(t.c, lambda x: x <= r.pred)) AS bk FROM res r JOIN cuts t ON r.season <= t.season),
+b AS (SELECT r.*, t.season AS target, len(list_filter(list_distinct(t.c), lambda x: x <= r.pred)) AS bk FROM res r JOIN cuts t ON r.season <= t.season),
 pool AS (SELECT target, quantile_cont(r, 0.05) AS lo, quantile_cont(r, 0.95) AS hi FROM b WHERE season < target GROUP BY 1), bq AS (SELECT target, bk, quantile_cont(r, 0.05) AS lo, quantile_cont(r, 0.95) AS hi FROM b WHERE season < target GROUP BY 1, 2 HAVING count(*) >= 100)
-SELECT game, round(greatest(pred + coalesce(bq.lo, pool.lo), 0), 6) AS low, round(pred + coalesce(bq.hi, pool.hi), 6) AS high FROM b JOIN pool USING (target) LEFT JOIN bq ON bq.target = b.target AND bq.bk = b.bk WHERE season = b.target""")
+SELECT game, round(greatest(pred + coalesce(bq.lo, pool.lo), 0), 6) AS low, round(greatest(pred + coalesce(bq.hi, pool.hi), 0), 6) AS high FROM b JOIN pool USING (target) LEFT JOIN bq ON bq.target = b.target AND bq.bk = b.bk WHERE season = b.target""")
 def m13(spark, sf_dir):
-    """Bounds by quintile of earlier predictions where a bucket has enough residuals, else pooled; never below zero."""
-    rows = _good(spark, sf_dir).withColumn("r", F.col("qty") - F.col("pred")).select("game", "season", "pred", "r")
-    cuts = M.causal_residual_quantiles(rows, "season", "pred", (0.2, 0.4, 0.6, 0.8), 100).select(F.col("season").alias("target"), F.col("q").alias("cuts"))
-    placed = rows.join(F.broadcast(cuts), F.col("season") <= F.col("target"))
-    placed = placed.withColumn("bk", F.size(F.filter("cuts", lambda x: x <= F.col("pred"))))
-    ends = F.percentile("r", F.array(F.lit(0.05), F.lit(0.95)))
-    past = placed.where("season < target")
-    pool = past.groupBy("target").agg(ends.alias("pool"))
-    own = past.groupBy("target", "bk").agg(ends.alias("own"), F.count("*").alias("n")).where("n >= 100").drop("n")
-    now = placed.where("season = target").join(F.broadcast(pool), "target").join(F.broadcast(own), ["target", "bk"], "left")
+    """Bounds by quintile of earlier predictions where a bucket has enough residuals, else pooled; never below zero.
+
+    A row counts in its bucket of every later season; these counts are summed up by ranges of the residual before any shuffle.
+    """
+    work = Workspace(spark, "buckets")
+    rows = work.save(_good(spark, sf_dir).select("game", "season", "pred", (F.col("qty") - F.col("pred")).alias("r")), "rows")
+    cuts = causal_quantiles(rows, "season", "pred", (0.2, 0.4, 0.6, 0.8), 100).select(F.col("season").alias("target"), F.array_distinct("q").alias("cuts"))
+    cuts = work.save(cuts, "cuts")  # a row a season
+    bucket = F.size(F.filter("cuts", lambda x: x <= F.col("pred")))
+    later = lambda df: df.join(F.broadcast(cuts), F.col("season") < F.col("target")).withColumn("bk", bucket)
+    pool = causal_quantiles(rows, "season", "r", (0.05, 0.95), 100).select(F.col("season").alias("target"), F.col("q").alias("pool"))
+    own = exact_quantiles(rows.select("season", "pred", "r"), ["target", "bk"], "r", (0.05, 0.95), 100, members=later).select("target", "bk", F.col("q").alias("own"))
+    now = rows.join(F.broadcast(cuts), F.col("season") == F.col("target")).withColumn("bk", bucket)
+    now = now.join(F.broadcast(pool), "target").join(F.broadcast(own), ["target", "bk"], "left")
     q = F.coalesce("own", "pool")
-    return now.select("game", F.round(F.greatest(F.col("pred") + q[0], F.lit(0.0)), 6).alias("low"), F.round(F.col("pred") + q[1], 6).alias("high"))
+    bound = lambda k: F.round(F.greatest(F.col("pred") + q[k], F.lit(0.0)), 6)
+    return now.select("game", bound(0).alias("low"), bound(1).alias("high"))
 
 
 @query("M14", f"""WITH {RES}, o AS (SELECT grp, abs(r) AS a, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY abs(r)) AS k FROM res)
@@ -177,8 +188,8 @@ def m15(spark, sf_dir):
 SELECT position, round(corr(a, b), 6) AS spearman, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 5""")
 def m16(spark, sf_dir):
     rows = board(spark, sf_dir).where("realized is not null")
-    rank = lambda c: average_rank(("position",), F.col(c), c)
-    rows = rows.select("position", rank("projection").alias("a"), rank("realized").alias("b"))
+    rows = rows.select("entity", "position", "projection", "realized")
+    rows = average_ranks(average_ranks(rows, ("position",), "projection", "a"), ("position",), "realized", "b")
     return rows.groupBy("position").agg(F.round(F.corr("a", "b"), 6).alias("spearman"), F.count("*").alias("n")).where("n >= 5")
 
 
@@ -286,10 +297,10 @@ def m28(spark, sf_dir):
 @query("M29")
 def m29(spark, sf_dir):
     """Normal scores of ranks and their correlations, shrunk to the identity."""
-    rows = _good(spark, sf_dir)
-    n = F.count("*").over(Window.partitionBy("grp"))
-    score = lambda c: S.normal_quantile(average_rank(("grp",), F.col(c), c) / (n + 1))
-    scored = rows.select("grp", *(score(c).alias(c) for c in ("qty", "pred", "naive")))
+    rows = _good(spark, sf_dir).select("game", "grp", "qty", "pred", "naive")
+    for c in ("qty", "pred", "naive"):
+        rows = average_ranks(rows, ("grp",), c, f"{c}_rank", total=f"{c}_n")
+    scored = rows.select("grp", *(S.normal_quantile(F.col(f"{c}_rank") / (F.col(f"{c}_n") + 1)).alias(c) for c in ("qty", "pred", "naive")))
     pairs = (("qty", "pred"), ("qty", "naive"), ("pred", "naive"))
     return scored.groupBy("grp").agg(*((0.95 * F.corr(a, b)).alias(f"{a}_{b}") for a, b in pairs))
 

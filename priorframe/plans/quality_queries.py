@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..operators.ordered import exact_quantiles, null_safe_join
+from ..sources.tables import Workspace
 from .aggregate_queries import CELLS, cells, edges
 from .facts import FACT, MONTHS, facts, months, table
 from .registry import query
@@ -190,9 +192,11 @@ def v21(spark, sf_dir):
 
 @query("V22", f"WITH {FACT} SELECT grp, count(*) - count(DISTINCT game) AS repeated, quantile_cont(qty, 0.01) AS p01, quantile_cont(qty, 0.5) AS p50, quantile_cont(qty, 0.99) AS p99, count(*) FILTER (WHERE qty IS NULL) / count(*) AS missing FROM fact GROUP BY grp")
 def v22(spark, sf_dir):
-    q = F.percentile("qty", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    rows = facts(spark, sf_dir).groupBy("grp").agg((F.count("*") - F.count_distinct("game")).alias("repeated"), q.alias("q"), (F.count_if(F.col("qty").isNull()) / F.count("*")).alias("missing"))
-    return rows.select("grp", "repeated", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p99"), "missing")
+    rows = Workspace(spark, "profile").save(facts(spark, sf_dir).select("grp", "game", "qty"), "rows")
+    counts = rows.groupBy("grp").agg((F.count("*") - F.count_distinct("game")).alias("repeated"), (F.count_if(F.col("qty").isNull()) / F.count("*")).alias("missing"))
+    q = exact_quantiles(rows.select("grp", "qty"), ["grp"], "qty", (0.01, 0.5, 0.99)).drop("n")
+    joined = null_safe_join(counts, q, ["grp"], "left")
+    return joined.select("grp", "repeated", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p99"), "missing")
 
 
 @query("V23", f"WITH {FACT} SELECT season, period, bool_or(lines IS NOT NULL) AS played FROM fact GROUP BY ALL")

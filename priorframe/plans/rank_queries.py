@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ordinals
 from ..operators.rank import best_lineup, global_ordinal, hit_rate, ordinal, points_lost, replacement_levels, value_over_replacement
 from .facts import FACT, facts, table
 from .registry import query
@@ -41,17 +42,19 @@ def t01(spark, sf_dir):
 
 @query("T02", f"WITH {BOARD} SELECT entity, position, row_number() OVER (PARTITION BY position ORDER BY projection DESC, entity) AS place FROM board")
 def t02(spark, sf_dir):
-    return board(spark, sf_dir).select("entity", "position", ordinal(("position",), F.desc("projection"), "entity").alias("place"))
+    rows = board(spark, sf_dir).select("entity", "position", "projection")
+    return ordinals(rows, ("position",), [F.desc("projection"), F.col("entity")], "place").select("entity", "position", "place")
 
 
 @query("T03", f"""WITH {BOARD}, a AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY projection DESC, entity) AS first_place FROM board), b AS (SELECT *, first_place <= 24 AND realized IS NULL AS cold FROM a)
 SELECT entity, position, cold, row_number() OVER (PARTITION BY position ORDER BY CASE WHEN cold THEN 0 ELSE projection END DESC, entity) AS place FROM b""")
 def t03(spark, sf_dir):
     """Rows without a history that rank high are set to zero and flagged, and all are ranked again."""
-    rows = board(spark, sf_dir).withColumn("first_place", ordinal(("position",), F.desc("projection"), "entity"))
+    rows = board(spark, sf_dir).select("entity", "position", "projection", "realized")
+    rows = ordinals(rows, ("position",), [F.desc("projection"), F.col("entity")], "first_place")
     rows = rows.withColumn("cold", (F.col("first_place") <= 24) & F.col("realized").isNull())
-    value = F.when(F.col("cold"), 0.0).otherwise(F.col("projection"))
-    return rows.select("entity", "position", "cold", ordinal(("position",), F.desc(value), "entity").alias("place"))
+    rows = rows.select("entity", "position", "cold", F.when(F.col("cold"), 0.0).otherwise(F.col("projection")).alias("value"))
+    return ordinals(rows, ("position",), [F.desc("value"), F.col("entity")], "place").drop("value")
 
 
 @query("T04", f"WITH {VOR} SELECT entity, position, vor FROM vor")

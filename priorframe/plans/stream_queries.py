@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.quality import quarantine
-from ..operators.rating import RatingRules, fresh_state, play_round
+from ..operators.rating import RatingRules, fresh_state, play_round, rounds_of, sides
 from ..sources.tables import Workspace
 from ..streaming import stateful as X
 from .aggregate_queries import games
 from .facts import table
+from .rating_queries import RATINGS
 from .registry import query
 
 
@@ -19,22 +20,23 @@ SLICE_ROWS = 1_000_000
 def queue_slices(workspace, rows, order, least=4, slice_rows=SLICE_ROWS):
     """Append rows as files of about ``slice_rows``, in order of time and one after the other.
 
-    The file source takes files by their time of writing, so files that tasks write side by side come in any order.
-    Rows of one time are in one slice; the number of slices grows with the table.
+    The file source takes files by their time of writing, so files that tasks write side by side come in any order. Rows
+    are staged once in a folder for each slice, so that an append reads its own slice only. Rows of one time are in one
+    slice; the number of slices grows with the table.
     """
-    staged = workspace.save(rows, "staged")
     at = F.unix_micros(F.col(order))
-    n = staged.count()
+    n = rows.count()
     slices = max(least, -(-n // slice_rows))
     shares = [k / slices for k in range(1, slices)]
-    cuts = staged.agg(F.percentile_approx(at, shares, 10 * slices).alias("cuts")).first().cuts or []
-    low = None
-    for high in [*sorted(set(cuts)), None]:
-        part = staged if low is None else staged.where(at > low)
-        part = part if high is None else part.where(at <= high)
-        part.repartition(1).sortWithinPartitions(order).write.mode("append").parquet(f"{workspace.path}/events")
-        low = high
-    return staged.schema
+    cuts = sorted(set(rows.agg(F.percentile_approx(at, shares, 10 * slices).alias("cuts")).first().cuts or []))
+    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < at)) if cuts else F.lit(0)
+    dealt = rows.withColumn("__slice", number)
+    staged = dealt.repartition(slices, "__slice").sortWithinPartitions("__slice", order)
+    staged.write.partitionBy("__slice").parquet(f"{workspace.path}/staged")
+    for k in range(len(cuts) + 1):
+        part = workspace.spark.read.schema(dealt.schema).parquet(f"{workspace.path}/staged").where(F.col("__slice") == k).drop("__slice")
+        part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(f"{workspace.path}/events")
+    return rows.schema
 
 
 def _stream(spark, sf_dir, name, shape=lambda df: df, order="ts"):
@@ -61,25 +63,44 @@ def _bets(rows):
     )
 
 
-@query("X02")
+#: Each portfolio's decisions in order: exposure of seven players and three games as lists, and their total.
+ADMISSION = """WITH RECURSIVE o AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'release' WHEN 'signup' THEN 'release_game' ELSE 'place' END AS kind, event_id % 7 + 1 AS p, event_id % 3 + 1 AS g,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+d(user_id, event_id, kind, k, amount, reason, ps, gs, total) AS (
+ SELECT user_id, NULL::BIGINT, '', 0::BIGINT, 0::DOUBLE, '', [0, 0, 0, 0, 0, 0, 0]::DOUBLE[], [0, 0, 0]::DOUBLE[], 0::DOUBLE FROM (SELECT DISTINCT user_id FROM events)
+ UNION ALL
+ SELECT user_id, event_id, kind, k, CASE kind WHEN 'release_game' THEN gs[g] ELSE 0.03 END, reason,
+  CASE WHEN kind = 'release' THEN list_transform(ps, lambda x, i: CASE WHEN i = p THEN greatest(0, x - 0.03::DOUBLE) ELSE x END) WHEN reason = 'approved' THEN list_transform(ps, lambda x, i: CASE WHEN i = p THEN x + 0.03::DOUBLE ELSE x END) ELSE ps END,
+  CASE WHEN kind = 'release' THEN list_transform(gs, lambda x, i: CASE WHEN i = g THEN greatest(0, x - 0.03::DOUBLE) ELSE x END) WHEN kind = 'release_game' THEN list_transform(gs, lambda x, i: CASE WHEN i = g THEN 0 ELSE x END)
+   WHEN reason = 'approved' THEN list_transform(gs, lambda x, i: CASE WHEN i = g THEN x + 0.03::DOUBLE ELSE x END) ELSE gs END,
+  CASE WHEN kind = 'release' THEN greatest(0, total - 0.03::DOUBLE) WHEN kind = 'release_game' THEN greatest(0, total - gs[g]) WHEN reason = 'approved' THEN total + 0.03::DOUBLE ELSE total END
+ FROM (SELECT d.user_id, o.event_id, o.kind, o.k, o.p, o.g, d.ps, d.gs, d.total, CASE WHEN o.kind <> 'place' THEN 'released' WHEN d.ps[o.p] + 0.03::DOUBLE > 0.05::DOUBLE + 1e-9 THEN 'player'
+   WHEN d.gs[o.g] + 0.03::DOUBLE > 0.2::DOUBLE + 1e-9 THEN 'game' WHEN d.total + 0.03::DOUBLE > 0.2::DOUBLE + 1e-9 THEN 'total' ELSE 'approved' END AS reason FROM d JOIN o ON o.user_id = d.user_id AND o.k = d.k + 1)),
+a AS (SELECT 'p' || user_id AS portfolio_id, event_id, kind, 'a' || event_id % 7 AS player_id, 'g' || event_id % 3 AS game_id, round(amount, 9) AS amount, reason IN ('approved', 'released') AS approved, reason FROM d WHERE k > 0)
+"""
+
+
+def _decided(spark, sf_dir, name):
+    w, rows = _stream(spark, sf_dir, name, _bets)
+    return X.run_to_end(X.admission(rows), w, "out").withColumn("amount", F.round("amount", 9))
+
+
+@query("X02", ADMISSION + "SELECT * FROM a WHERE kind = 'place'")
 def x02(spark, sf_dir):
     """Admission under player, game and total limits; a rejected bet changes nothing."""
-    w, rows = _stream(spark, sf_dir, "admission", _bets)
-    return X.run_to_end(X.admission(rows), w, "out").where("kind = 'place'")
+    return _decided(spark, sf_dir, "admission").where("kind = 'place'")
 
 
-@query("X03")
+@query("X03", ADMISSION + "SELECT * FROM a WHERE kind <> 'place'")
 def x03(spark, sf_dir):
     """Releases of a bet or of a game, in the same stream and state."""
-    w, rows = _stream(spark, sf_dir, "releases", _bets)
-    return X.run_to_end(X.admission(rows), w, "out").where("kind <> 'place'")
+    return _decided(spark, sf_dir, "releases").where("kind <> 'place'")
 
 
-@query("X04")
+@query("X04", ADMISSION + "SELECT portfolio_id, event_id, player_id, game_id, amount FROM a WHERE approved AND kind = 'place'")
 def x04(spark, sf_dir):
     """Alerts: approved decisions only, one for each."""
-    w, rows = _stream(spark, sf_dir, "alerts", _bets)
-    decided = X.run_to_end(X.admission(rows), w, "out")
+    decided = _decided(spark, sf_dir, "alerts")
     return decided.where("approved and kind = 'place'").select("portfolio_id", "event_id", "player_id", "game_id", "amount")
 
 
@@ -106,13 +127,14 @@ def x06(spark, sf_dir):
     return count("valid").unionByName(count("rejected"))
 
 
-@query("X07")
+@query("X07", RATINGS + " SELECT team, round(o, 6) AS off, round(d, 6) AS def, last_season FROM st WHERE no = (SELECT max(no) FROM rounds)")
 def x07(spark, sf_dir):
     """Ratings brought up to date by a stream of finished rounds, one file a round."""
     w = Workspace(spark, "rounds")
     rows = w.save(games(spark, sf_dir), "games")
-    rounds = [(r.season, r.period) for r in rows.select("season", "period").distinct().orderBy("season", "period").collect()]
-    state = w.save(fresh_state(rows, RatingRules()).coalesce(1), "state--1")
+    rounds = rounds_of(rows)
+    seasons = sorted({s for s, _ in rounds})
+    state = w.save(fresh_state(rows, RatingRules()), "state--1")
     if not rounds:
         return state
     at = lambda season, period: (F.col("season") == season) & (F.col("period") == period)
@@ -124,20 +146,21 @@ def x07(spark, sf_dir):
         if not batch.where(~at(*rounds[number])).isEmpty():
             raise ValueError(f"batch {number} is not round {rounds[number]}")
         state = spark.read.parquet(f"{w.path}/state-{number - 1}")
-        w.save(play_round(state, batch, RatingRules()).coalesce(1), f"state-{number}")
+        w.save(play_round(state, sides(batch), RatingRules(), seasons), f"state-{number}")
 
     X.run_batches(stream, w, "ratings", step)
-    return spark.read.parquet(f"{w.path}/state-{len(rounds) - 1}")
+    last = spark.read.parquet(f"{w.path}/state-{len(rounds) - 1}")
+    return last.withColumns({c: F.round(c, 6) for c in ("off", "def")})
 
 
 @query("X08", """WITH RECURSIVE o AS (SELECT user_id AS entity, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-f(entity, event_id, k, m, v) AS (SELECT entity, event_id, k, value::DOUBLE, 100.0::DOUBLE FROM o WHERE k = 1 UNION ALL
- SELECT o.entity, o.event_id, o.k, m + (v + 4) / (v + 4 + 36) * (o.value - m), (1 - (v + 4) / (v + 4 + 36)) * (v + 4) FROM f JOIN o ON o.entity = f.entity AND o.k = f.k + 1)
-SELECT entity, event_id, round(m, 6) AS mean, round(v, 6) AS variance FROM f""")
+f(entity, event_id, k, m, v) AS (SELECT DISTINCT entity, NULL::BIGINT, 0::BIGINT, 50.0::DOUBLE, 1000.0::DOUBLE FROM o UNION ALL
+ SELECT o.entity, o.event_id, o.k, m + (v + 1) / (v + 1 + 100) * (o.value - m), (1 - (v + 1) / (v + 1 + 100)) * (v + 1) FROM f JOIN o ON o.entity = f.entity AND o.k = f.k + 1)
+SELECT entity, event_id, round(m, 6) AS mean, round(v, 6) AS variance FROM f WHERE k > 0""")
 def x08(spark, sf_dir):
     """The filtered level after each event, its state kept from batch to batch."""
     w, rows = _stream(spark, sf_dir, "filter", lambda df: df.select(F.col("user_id").alias("entity"), "event_id", "ts", "value"))
-    out = X.run_to_end(X.filter_levels(rows, 4.0, 36.0, 100.0), w, "out")
+    out = X.run_to_end(X.filter_levels(rows, 50.0, 1.0, 100.0, 1000.0), w, "out")
     return out.select("entity", "event_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 

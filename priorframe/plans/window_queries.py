@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.rank import average_rank
-from ..operators.temporal import kalman_prior, prior_values, prior_window, run_length, safe_ratio, trailing_mean
+from ..operators.ordered import average_ranks, exact_quantiles, ordinals, tile
+from ..operators.temporal import filtered_form, prior_values, prior_window, run_length, safe_ratio, trailing_mean
+from ..sources.tables import Workspace
 from .facts import FACT, MONTHS, PLAYS, facts, months, plays, table
 from .registry import query
 
@@ -189,15 +190,14 @@ def w15(spark, sf_dir):
  SELECT game, season, grp, rank() OVER (PARTITION BY season, grp ORDER BY qty DESC) + (count(*) OVER (PARTITION BY season, grp, qty) - 1) / 2.0::DOUBLE AS r FROM fact WHERE qty IS NOT NULL)""")
 def w16(spark, sf_dir):
     rows = facts(spark, sf_dir).where("qty is not null")
-    rank = average_rank(("season", "grp"), F.desc("qty"), "qty")
-    rows = rows.select("game", "season", "grp", rank.alias("avg_rank"))
-    return rows.withColumn("pct", F.col("avg_rank") / F.count("*").over(Window.partitionBy("season", "grp")))
+    rows = average_ranks(rows.select("game", "season", "grp", "qty"), ("season", "grp"), "qty", "avg_rank", descending=True, total="n")
+    return rows.select("game", "season", "grp", "avg_rank", (F.col("avg_rank") / F.col("n")).alias("pct"))
 
 
 @query("W17", f"""WITH {FACT} SELECT game, season, ntile(10) OVER (PARTITION BY season ORDER BY qty, game)::BIGINT AS bucket FROM fact WHERE qty IS NOT NULL""")
 def w17(spark, sf_dir):
-    bucket = F.ntile(10).over(Window.partitionBy("season").orderBy("qty", "game")).cast("long")
-    return facts(spark, sf_dir).where("qty is not null").select("game", "season", bucket.alias("bucket"))
+    rows = facts(spark, sf_dir).where("qty is not null").select("game", "season", "qty")
+    return ordinals(rows, ("season",), ["qty", "game"], "place", "n").select("game", "season", tile("place", "n", 10).alias("bucket"))
 
 
 @query("W18", """WITH e AS (SELECT user_id, event_id, sum(CASE WHEN event_type = 'purchase' THEN round(value * 100)::BIGINT WHEN event_type = 'error' THEN -round(value * 100)::BIGINT ELSE 0 END)
@@ -220,26 +220,36 @@ def w19(spark, sf_dir):
     return edges.select("receiver", "defender", "n", (F.col("n") == F.max("n").over(w)).alias("is_primary"), (F.col("n") / F.sum("n").over(w)).alias("share"))
 
 
-KALMAN = (4.0, 36.0, 100.0)
+#: Process variance, observation variance below two values, variance of the prior.
+KALMAN = (1.0, 100.0, 1000.0)
+#: The prior mean of each group; a group without one starts from zero.
+PRIORS = {"BUILDING": 70.0, "AUTOMOBILE": 80.0, "MACHINERY": 90.0, "HOUSEHOLD": 100.0}
+
+
+def prior_of(grp="grp"):
+    out = F.lit(0.0)
+    for name, value in PRIORS.items():
+        out = F.when(F.col(grp) == name, value).otherwise(out)
+    return out
 
 
 def _form(spark, sf_dir):
-    w = prior_window(SEASON, ORDER)
-    rows = facts(spark, sf_dir).withColumn("seen", F.collect_list("qty").over(w))
-    return rows.withColumn("form", kalman_prior(F.col("seen"), *KALMAN))
+    rows = facts(spark, sf_dir).select("entity", "season", "period", "game", "grp", "qty")
+    return filtered_form(rows, SEASON, ORDER, "qty", prior_of(), *KALMAN, "form")
 
 
-KALMAN_SQL = f"""WITH RECURSIVE {FACT}, seen AS (SELECT entity, season, period, game, list(qty) FILTER (WHERE qty IS NOT NULL) {W_SQL} AS xs FROM fact),
-obs AS (SELECT *, CASE WHEN len(xs) > 1 AND list_var_samp(xs) > 0 THEN list_var_samp(xs) ELSE 36.0 END AS r FROM seen WHERE len(xs) > 0),
-f(game, k, m, v) AS (SELECT game, 1, xs[1]::DOUBLE, 100.0::DOUBLE FROM obs UNION ALL
- SELECT f.game, k + 1, m + (v + 4) / (v + 4 + r) * (xs[k + 1] - m), (1 - (v + 4) / (v + 4 + r)) * (v + 4) FROM f JOIN obs USING (game) WHERE k < len(xs))
+PRIOR_SQL = "CASE grp " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in PRIORS.items()) + " ELSE 0::DOUBLE END"
+KALMAN_SQL = f"""WITH RECURSIVE {FACT}, p AS (SELECT *, {PRIOR_SQL} AS x0 FROM fact), seen AS (SELECT entity, season, period, game, x0, coalesce(list(coalesce(qty, x0)) {W_SQL}, []) AS xs,
+ CASE WHEN count(qty) {W_SQL} >= 2 THEN greatest(var_samp(qty) {W_SQL}, 1e-6) ELSE 100.0::DOUBLE END AS r FROM p),
+f(game, k, m, v) AS (SELECT game, 0, x0, 1000.0::DOUBLE FROM seen UNION ALL
+ SELECT f.game, k + 1, m + (v + 1) / (v + 1 + r) * (xs[k + 1] - m), (1 - (v + 1) / (v + 1 + r)) * (v + 1) FROM f JOIN seen USING (game) WHERE k < len(xs))
 """
 
 
 @query("W20", KALMAN_SQL + """SELECT s.entity, s.season, s.period, s.game, round(f.m, 6) AS form, round(f.v, 6) AS form_var
-FROM seen s LEFT JOIN f ON f.game = s.game AND f.k = len(s.xs)""")
+FROM seen s JOIN f ON f.game = s.game AND f.k = len(s.xs)""")
 def w20(spark, sf_dir):
-    """Filtered level before each game; no earlier value, no level."""
+    """Filtered level before each game, from the group's prior; no earlier game, the prior."""
     return _form(spark, sf_dir).select(
         "entity", "season", "period", "game", F.round("form.mean", 6).alias("form"), F.round("form.var", 6).alias("form_var")
     )
@@ -248,15 +258,17 @@ def w20(spark, sf_dir):
 @query("W21", KALMAN_SQL + """SELECT s.entity, s.season, s.period, s.game, round(f.m, 6) AS form,
  row_number() OVER (PARTITION BY s.entity, s.season ORDER BY s.period, s.game) AS step FROM seen s JOIN f ON f.game = s.game AND f.k = len(s.xs)""")
 def w21(spark, sf_dir):
-    rows = _form(spark, sf_dir).where("form is not null")
+    """The whole trajectory of an entity's season, in order."""
     step = F.row_number().over(Window.partitionBy(*SEASON).orderBy(*ORDER)).cast("long")
-    return rows.select("entity", "season", "period", "game", F.round("form.mean", 6).alias("form"), step.alias("step"))
+    return _form(spark, sf_dir).select("entity", "season", "period", "game", F.round("form.mean", 6).alias("form"), step.alias("step"))
 
 
 @query("W22", f"""WITH {FACT} SELECT game, (season - (SELECT min(season) FROM fact)) * 12 + period - 1 AS time_idx,
  coalesce(qty, (SELECT median(qty) FROM fact)) AS filled FROM fact""")
 def w22(spark, sf_dir):
     rows = facts(spark, sf_dir)
-    stats = rows.agg(F.min("season").alias("first_season"), F.median("qty").alias("middle"))
-    rows = rows.crossJoin(F.broadcast(stats))  # one row
+    rows = Workspace(spark, "timeline").save(rows.select("game", "season", "period", "qty"), "rows")
+    middle = exact_quantiles(rows.select("qty"), (), "qty", (0.5,)).select(F.col("q")[0].alias("middle"))
+    first = rows.agg(F.min("season").alias("first_season"))
+    rows = rows.crossJoin(F.broadcast(first)).join(F.broadcast(middle), how="left")  # one row each, or none without values
     return rows.select("game", ((F.col("season") - F.col("first_season")) * 12 + F.col("period") - 1).alias("time_idx"), F.coalesce("qty", "middle").alias("filled"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,13 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
 
+def files_fingerprint(*frames: DataFrame) -> str:
+    """A digest of the files that these tables are read from: names, sizes and times. It changes when a table is rewritten."""
+    named = [df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for df in frames]
+    marks = reduce(DataFrame.unionByName, named).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time")).alias("x")).first()
+    return f"{marks.n}-{marks.x}"
+
+
 def scan(spark: SparkSession, path: str, season: str, seasons: Sequence[int], columns: Sequence[str]) -> DataFrame:
     """A season-partitioned table: only these seasons' files and these columns are read."""
     return spark.read.parquet(path).where(F.col(season).isin(*seasons)).select(*columns)

@@ -6,24 +6,41 @@ Every job can also be run to the end of what is there (``availableNow``), with a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalar import kelly
 from ..sources.tables import Workspace
 
 LIMITS = {"player": 0.05, "game": 0.20, "total": 0.20}
+#: Sums of doubles drift; a bet that meets a limit exactly is within it.
+EPSILON = 1e-9
+CHUNK_ROWS = 50_000
 DECISION = "portfolio_id string, event_id long, kind string, player_id string, game_id string, amount double, approved boolean, reason string"
-STATE = "players map<string, double>, games map<string, double>, owner map<string, string>"
+LEVELS = "entity long, event_id long, mean double, variance double"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state by entries (maps and values) in RocksDB, as transformWithState asks for."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def run_to_end(rows: DataFrame, workspace: Workspace, name: str, mode: str = "append") -> DataFrame:
     """Start a stream, wait until what is there is processed, and read what it wrote."""
     out = f"{workspace.path}/{name}"
-    query = rows.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out)
+    with keyed_state(workspace.spark):
+        query = rows.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out)
     query.awaitTermination()
     return workspace.spark.read.schema(rows.schema).parquet(out)
 
@@ -40,51 +57,105 @@ def sized(events: DataFrame, probability: Column, decimal_odds: Column, threshol
     return rows.where(F.col("stake") > 0)
 
 
-def admit(rows: list[tuple], players: dict, games: dict, owner: dict, limits: dict = LIMITS) -> list[tuple]:
-    """Decide events in order. State changes only on approvals and releases: exposure per player (and its game)."""
-    out = []
-    for event_id, kind, player, game, amount in rows:
+class Exposure:
+    """What is in play of one portfolio: by player, by game, in total. Entries are fetched once and written if touched."""
+
+    def __init__(self, players, games, total: float):
+        self.stores, self.held, self.touched = {"player": players, "game": games}, {"player": {}, "game": {}}, set()
+        self.total = total
+
+    def get(self, kind: str, name: str) -> float | None:
+        held = self.held[kind]
+        if name not in held:
+            held[name] = self.stores[kind].get(name)
+        return held[name]
+
+    def put(self, kind: str, name: str, value: float | None) -> None:
+        self.held[kind][name] = value
+        self.touched.add((kind, name))
+
+    def decide(self, kind: str, player: str, game: str, amount: float, limits: dict = LIMITS) -> tuple[float, bool, str]:
+        """``(amount, approved, reason)`` of one event; a rejected bet changes nothing.
+
+        A bet is checked against its player's, its game's and the total limit, in this order. A release takes the bet's amount
+        from its player, its game (where they are known) and the total, none below zero. A released game takes its
+        exposure from the total and is forgotten; its players keep theirs.
+        """
         if kind == "release":
-            freed = players.pop(player, 0.0)
-            held = owner.pop(player, game)
-            games[held] = max(0.0, games.get(held, 0.0) - freed)
-            out.append((event_id, kind, player, game, freed, True, "released"))
-        elif kind == "release_game":
-            for name in [p for p, g in owner.items() if g == game]:
-                players.pop(name, None)
-                owner.pop(name)
-            out.append((event_id, kind, player, game, games.pop(game, 0.0), True, "released"))
-        else:
-            over = [
-                name
-                for name, used in (("player", players.get(player, 0.0)), ("game", games.get(game, 0.0)), ("total", sum(games.values())))
-                if used + amount > limits[name] + 1e-12
-            ]
-            if not over:
-                players[player] = players.get(player, 0.0) + amount
-                games[game] = games.get(game, 0.0) + amount
-                owner[player] = game
-            out.append((event_id, kind, player, game, amount, not over, over[0] if over else "approved"))
-    return out
+            for key, name in (("player", player), ("game", game)):
+                if (held := self.get(key, name)) is not None:
+                    self.put(key, name, max(0.0, held - amount))
+            self.total = max(0.0, self.total - amount)
+            return amount, True, "released"
+        if kind == "release_game":
+            if (held := self.get("game", game)) is not None:
+                self.total = max(0.0, self.total - held)
+                self.put("game", game, None)
+            return held or 0.0, True, "released"
+        now = {"player": self.get("player", player) or 0.0, "game": self.get("game", game) or 0.0, "total": self.total}
+        over = next((k for k, v in now.items() if v + amount > limits[k] + EPSILON), None)
+        if over:
+            return amount, False, over
+        self.put("player", player, now["player"] + amount)
+        self.put("game", game, now["game"] + amount)
+        self.total += amount
+        return amount, True, "approved"
+
+
+class _Entries:
+    """A map state by plain names."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def get(self, name: str) -> float | None:
+        found = self.state.getValue((name,)) if self.state.containsKey((name,)) else None
+        return None if found is None else found[0]
+
+    def put(self, name: str, value: float | None) -> None:
+        if value is not None:
+            self.state.updateValue((name,), (value,))
+        elif self.state.containsKey((name,)):
+            self.state.removeKey((name,))
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One key's rows of a batch in event order, in bounded chunks; a batch is bounded by its files."""
+    frame = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+    for at in range(0, len(frame), CHUNK_ROWS):
+        yield frame.iloc[at : at + CHUNK_ROWS]
+
+
+class Admission(StatefulProcessor):
+    """Bets and releases of a portfolio, in event order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.players = _Entries(handle.getMapState("players", "name string", "exposure double"))
+        self.games = _Entries(handle.getMapState("games", "name string", "exposure double"))
+        self.total = handle.getValueState("total", "exposure double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        exposure = Exposure(self.players, self.games, self.total.get()[0] if self.total.exists() else 0.0)
+        names = ["event_id", "kind", "player_id", "game_id", "amount"]
+        for frame in _in_order(rows):
+            events = list(frame[names].itertuples(index=False, name=None))
+            decided = [exposure.decide(*e[1:]) for e in events]
+            yield pd.DataFrame([(key[0], *e[:4], *d) for e, d in zip(events, decided)], columns=["portfolio_id", *names, "approved", "reason"])
+        for kind, name in exposure.touched:
+            exposure.stores[kind].put(name, exposure.held[kind][name])
+        self.total.update((exposure.total,))
+
+    def close(self) -> None:
+        pass
 
 
 def admission(events: DataFrame) -> DataFrame:
     """``(portfolio_id, event_id, ts, kind, player_id, game_id, amount)`` to decisions, in event order per portfolio.
 
-    Portfolios are independent; inside one the order is total, so a portfolio is one group by nature.
+    Portfolios are independent; inside one the order is total. State is read and written by touched player and game.
     """
-
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        players, games, owner = (dict(x) for x in state.get) if state.exists else ({}, {}, {})
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        rows = list(frame[["event_id", "kind", "player_id", "game_id", "amount"]].itertuples(index=False, name=None))
-        out = admit(rows, players, games, owner)
-        state.update((players, games, owner))
-        names = ["event_id", "kind", "player_id", "game_id", "amount", "approved", "reason"]
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=["portfolio_id", *names])
-
-    grouped = events.groupBy("portfolio_id")
-    return grouped.applyInPandasWithState(decide, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
+    columns = ["portfolio_id", "event_id", "ts", "kind", "player_id", "game_id", "amount"]
+    return events.select(*columns).groupBy("portfolio_id").transformWithStateInPandas(Admission(), DECISION, "Append", "None")
 
 
 def capture(snapshots: DataFrame, keys: list[str], stamp: str, lateness: str) -> DataFrame:
@@ -92,23 +163,32 @@ def capture(snapshots: DataFrame, keys: list[str], stamp: str, lateness: str) ->
     return snapshots.withWatermark(stamp, lateness).dropDuplicatesWithinWatermark([*keys, stamp])
 
 
-def filter_levels(events: DataFrame, q: float, r: float, p0: float) -> DataFrame:
-    """``(entity, event_id, ts, value)`` to the filtered level after each event, with a fixed observation variance."""
+class Levels(StatefulProcessor):
+    """A scalar filter's posterior of each entity."""
+
+    def __init__(self, start: float, q: float, r: float, p0: float):
+        self.start, self.q, self.r, self.p0 = start, q, r, p0
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mean, var = state.get if state.exists else (None, p0)
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, value in frame[["event_id", "value"]].itertuples(index=False, name=None):
-            if mean is None:
-                mean = float(value)
-            else:
-                var += q
-                gain = var / (var + r)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("level", "mean double, variance double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mean, var = self.state.get() if self.state.exists() else (self.start, self.p0)
+        for frame in _in_order(rows):
+            out = []
+            for event_id, value in frame[["event_id", "value"]].itertuples(index=False, name=None):
+                var += self.q
+                gain = var / (var + self.r)
                 mean, var = mean + gain * (float(value) - mean), (1 - gain) * var
-            out.append((key[0], event_id, mean, var))
-        state.update((mean, var))
-        yield pd.DataFrame(out, columns=["entity", "event_id", "mean", "variance"])
+                out.append((key[0], event_id, mean, var))
+            yield pd.DataFrame(out, columns=["entity", "event_id", "mean", "variance"])
+        self.state.update((mean, var))
+
+    def close(self) -> None:
+        pass
+
 
-    schema = "entity long, event_id long, mean double, variance double"
-    return events.groupBy("entity").applyInPandasWithState(step, schema, "mean double, variance double", "append", GroupStateTimeout.NoTimeout)
+def filter_levels(events: DataFrame, start: float, q: float, r: float, p0: float) -> DataFrame:
+    """``(entity, event_id, ts, value)`` to the filtered level after each event, from a prior, with a fixed observation variance."""
+    rows = events.select("entity", "event_id", "ts", "value")
+    return rows.groupBy("entity").transformWithStateInPandas(Levels(start, q, r, p0), LEVELS, "Append", "None")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorframe.functions import scalar as S
-from priorframe.operators import aggregate, metrics, quality, rank, rating, resolve, temporal
+from priorframe.operators import aggregate, metrics, ordered, quality, rank, rating, resolve, temporal
 from priorframe.sources import tables
 from priorframe.streaming import stateful
 
@@ -56,12 +56,12 @@ def test_run_length_before_each_row(spark):
 
 def test_average_ranks_share_ties(spark):
     df = frame(spark, [("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 3.0)], "g string, v double")
-    assert sorted(r.r for r in df.select(rank.average_rank(("g",), F.col("v"), "v").alias("r")).collect()) == [1.0, 2.5, 2.5, 4.0]
+    assert sorted(r.r for r in ordered.average_ranks(df, ["g"], "v", "r").collect()) == [1.0, 2.5, 2.5, 4.0]
 
 
 def test_global_ordinal_equals_one_sort(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"))
-    got = rank.global_ordinal(df, "n", F.desc("v"), shards=7).collect()
+    got = rank.global_ordinal(df, "n", F.desc("v")).collect()
     assert {r.v: r.n for r in got} == {499 - k: k + 1 for k in range(500)}
 
 
@@ -161,29 +161,112 @@ def test_upserts(spark):
 GAMES = "season long, period long, home long, away long, home_score long, away_score long"
 
 
+def plain_ratings(games, rules=rating.RatingRules()):
+    """The stated update, game by game: (season, period, team) to (off, def) after each game."""
+    off, def_, out, season = {}, {}, {}, None
+    for s, p, h, a, hs, as_ in sorted(games):
+        if season is not None and s != season:
+            for t in off:
+                off[t], def_[t] = (rules.start + rules.keep * (x - rules.start) for x in (off[t], def_[t]))
+        season = s
+        for t in (h, a):
+            off.setdefault(t, rules.start)
+            def_.setdefault(t, rules.start)
+        mean_h, mean_a = (off[h] + def_[h]) / 2, (off[a] + def_[a]) / 2
+        expected = 1 / (1 + 10 ** ((mean_a - mean_h - rules.home_bonus) / 400))
+        result = 1.0 if hs > as_ else 0.0 if hs < as_ else 0.5
+        gap = mean_h - mean_a if hs > as_ else mean_a - mean_h
+        factor = 1.0 if hs == as_ else min(math.log(abs(hs - as_) + 1) * 2.2 / (gap * 0.001 + 2.2), rules.cap)
+        clip = lambda x: max(rules.low, min(rules.high, x))
+        for t, step, own in ((h, rules.k * factor * (result - expected), result), (a, -rules.k * factor * (result - expected), 1 - result)):
+            to_off, to_def = (0.5, 0.5) if own == 0.5 else (1, rules.spill) if own == 1 else (rules.spill, 1)
+            off[t], def_[t] = clip(off[t] + step * to_off), clip(def_[t] + step * to_def)
+            out[s, p, t] = (off[t], def_[t])
+    return out
+
+
+def test_ratings_equal_the_stated_update(spark):
+    """Home bonus in every update, ceiling, ties, teams that miss rounds and a whole season."""
+    rng = random.Random(7)
+    games = []
+    for season in (2001, 2002, 2004):
+        for period in (1, 2, 3):
+            teams = [t for t in range(1, 9) if not (t in (7, 8) and season == 2002)]
+            rng.shuffle(teams)
+            for h, a in zip(teams[0:4:2], teams[1:4:2]):
+                games.append((season, period, h, a, rng.choice([3, 14, 70]) if h > a else 3, rng.choice([3, 10])))
+    rules = rating.RatingRules(k=300.0)  # large enough to meet the bounds
+    got = {(r.season, r.period, r.team): (r.off, r["def"]) for r in rating.rate(tables.Workspace(spark, "t"), frame(spark, games, GAMES), rules).collect()}
+    want = plain_ratings(games, rules)
+    assert set(got) == set(want) and any(x in (rules.low, rules.high) for v in want.values() for x in v)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-6), k
+
+
 def test_ratings_regress_at_the_first_game_of_a_season_only(spark):
     rules = rating.RatingRules()
     state = frame(spark, [(1, 1600.0, 1600.0, 2000), (2, 1400.0, 1400.0, 2000), (3, 1700.0, 1700.0, 2000)], "team long, off double, def double, last_season long")
-    after = {r.team: r for r in rating.play_round(state, frame(spark, [(2001, 1, 1, 2, 3, 3)], GAMES), rules).collect()}
+    played = rating.sides(frame(spark, [(2001, 1, 1, 2, 3, 3)], GAMES))
+    after = {r.team: r for r in rating.play_round(state, played, rules, [2000, 2001]).collect()}
     assert after[3].off == 1700.0  # has not played yet
-    drop = 1 - 1 / (1 + 10 ** (-(1575 - 1425) / 400))
-    assert after[1].off == pytest.approx(1575 + 20 * 0.5 * (0.5 - (1 - drop))) and after[1].off - 1575 == pytest.approx(1425 - after[2].off)
+    expected = 1 / (1 + 10 ** (-(1575 - 1425 + 65) / 400))
+    assert after[1].off == pytest.approx(1575 + 20 * 0.5 * (0.5 - expected)) and after[1].off - 1575 == pytest.approx(1425 - after[2].off)
+
+
+class Plain(dict):
+    """A stored map by names, where None forgets an entry."""
+
+    def put(self, name, value):
+        if value is None:
+            self.pop(name, None)
+        else:
+            self[name] = value
 
 
 def test_admission_limits_and_releases():
-    place = lambda k, p, g, a: (k, "place", p, g, a)
-    rows = [place(1, "a", "g", 0.05), place(2, "a", "g", 0.01), place(3, "b", "g", 0.05), (4, "release", "a", "g", 0.0), place(5, "a", "g", 0.05), place(6, "c", "g", 0.11), (7, "release_game", "", "g", 0.0), place(8, "a", "h", 0.05)]
-    out = stateful.admit(rows, {}, {}, {})
-    assert [r[6] for r in out] == ["approved", "player", "approved", "released", "approved", "player", "released", "approved"]
-
-
-def test_kalman_matches_a_plain_loop(spark):
-    xs = [10.0, 14.0, 9.0]
-    r = sum((x - 11) ** 2 for x in xs) / 2
-    m, v = xs[0], 100.0
-    for x in xs[1:]:
-        v += 4
+    x = stateful.Exposure(Plain(), Plain(), 0.0)
+    place = lambda p, g, a: x.decide("place", p, g, a)[2]
+    assert [place("a", "g", 0.05), place("a", "g", 0.01), place("b", "h", 0.05)] == ["approved", "player", "approved"]
+    # a release takes its own amount, from the player and from the game it names, wherever other bets of the player are
+    x.decide("release", "a", "g", 0.02)
+    assert (x.get("player", "a"), x.get("game", "g"), x.total) == (pytest.approx(0.03), pytest.approx(0.03), pytest.approx(0.08))
+    assert place("a", "h", 0.02) == "approved" and x.get("game", "h") == pytest.approx(0.07)
+    # unknown names are no error and take from the total only
+    x.decide("release", "nobody", "nowhere", 0.01)
+    assert x.get("player", "nobody") is None and x.get("game", "nowhere") is None and x.total == pytest.approx(0.09)
+    # a released game is forgotten; its players keep their exposure
+    assert x.decide("release_game", "", "h", 0.0) == (pytest.approx(0.07), True, "released") and x.get("game", "h") is None
+    assert x.total == pytest.approx(0.02) and x.get("player", "a") == pytest.approx(0.05) and place("a", "h", 0.001) == "player"
+    assert x.decide("release_game", "", "h", 0.0) == (0.0, True, "released")
+    x.decide("release", "b", "h", 9.0)
+    assert (x.get("player", "b"), x.total) == (0.0, 0.0)
+    # limits of a game and of the total, met exactly and exceeded, in the order player, game, total
+    y = stateful.Exposure(Plain(), Plain(), 0.0)
+    assert [y.decide("place", p, "g", 0.05)[2] for p in "abcde"] == ["approved"] * 4 + ["game"]
+    assert y.decide("place", "e", "h", 0.05)[2] == "total" and y.get("player", "e") is None and y.total == pytest.approx(0.2)
+
+
+def plain_filter(values, start, q, default_r, p0):
+    seen = [v for v in values if v is not None]
+    mid = sum(seen) / len(seen) if seen else 0
+    r = max(sum((v - mid) ** 2 for v in seen) / (len(seen) - 1), 1e-6) if len(seen) > 1 else default_r
+    m, v = start, p0
+    for x in values:
+        v += q
         g = v / (v + r)
-        m, v = m + g * (x - m), (1 - g) * v
-    got = frame(spark, [(xs,), ([],)], "s array<double>").select(temporal.kalman_prior(F.col("s"), 4.0, 36.0, 100.0).alias("f")).collect()
-    assert (got[0].f.mean, got[0].f["var"]) == (pytest.approx(m), pytest.approx(v)) and got[1].f is None
+        m, v = m + g * ((start if x is None else x) - m), (1 - g) * v
+    return m, v
+
+
+def test_filtered_form_matches_a_plain_loop(spark):
+    """From the prior, through nulls, equal values and no history."""
+    series = {("a", 1): [10.0, 14.0, None, 9.0], ("a", 2): [None, None, 3.0], ("b", 1): [5.0, 5.0, 5.0, 5.0], (None, 1): [1.0]}
+    rows = [(e, s, t, v, "x") for (e, s), vs in series.items() for t, v in enumerate(vs)]
+    df = frame(spark, rows, "e string, s long, t long, v double, note string")
+    out = temporal.filtered_form(df, ["e", "s"], ["t"], "v", F.when(F.col("e") == "a", 20.0).otherwise(0.0), 1.0, 100.0, 1000.0, "form")
+    assert out.columns == [*df.columns, "form"]
+    got = {(r.e, r.s, r.t): (r.form.mean, r.form["var"]) for r in out.collect()}
+    for (e, s), vs in series.items():
+        for t in range(len(vs)):
+            assert got[e, s, t] == pytest.approx(plain_filter(vs[:t], 20.0 if e == "a" else 0.0, 1.0, 100.0, 1000.0)), (e, s, t)
+    assert got["a", 1, 0] == (20.0, 1000.0)

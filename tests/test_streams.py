@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from priorframe.plans import stream_queries as S
 from priorframe.sources.tables import Workspace
-from priorframe.streaming.stateful import admit
+from priorframe.streaming.stateful import PROVIDER, Exposure, keyed_state
 
 
 def test_slices_are_written_in_order_of_time(spark):
@@ -22,6 +22,14 @@ def test_slices_are_written_in_order_of_time(spark):
     assert all(a.high < b.low for a, b in zip(spans, spans[1:]))
 
 
+class Plain(dict):
+    def put(self, name, value):
+        if value is None:
+            self.pop(name, None)
+        else:
+            self[name] = value
+
+
 def test_admission_equals_a_plain_loop_and_is_stable(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     want = {}
@@ -29,7 +37,10 @@ def test_admission_equals_a_plain_loop_and_is_stable(spark, sf):
     for r in S._bets(events).orderBy("ts", "event_id").collect():
         by[r.portfolio_id].append((r.event_id, r.kind, r.player_id, r.game_id, r.amount))
     for rows in by.values():
-        want |= {x[0]: (x[1], round(x[4], 9), x[5], x[6]) for x in admit(rows, {}, {}, {})}
+        exposure = Exposure(Plain(), Plain(), 0.0)
+        for event_id, *event in rows:
+            amount, approved, reason = exposure.decide(*event)
+            want[event_id] = (event[0], round(amount, 9), approved, reason)
     plain = lambda df: {r.event_id: (r.kind, round(r.amount, 9), r.approved, r.reason) for r in df.collect()}
     for _ in range(2):
         assert plain(S.x02(spark, sf)) == {k: v for k, v in want.items() if v[0] == "place"}
@@ -37,3 +48,10 @@ def test_admission_equals_a_plain_loop_and_is_stable(spark, sf):
     alerts = {r.event_id for r in S.x04(spark, sf).collect()}
     assert alerts == {k for k, v in want.items() if v[0] == "place" and v[2]}
     assert {v[3] for v in want.values()} >= {"approved", "player", "released"}
+
+
+def test_state_setting_is_put_back(spark):
+    before = spark.conf.get(PROVIDER)
+    with keyed_state(spark):
+        assert spark.conf.get(PROVIDER) != before
+    assert spark.conf.get(PROVIDER) == before
