@@ -6,11 +6,14 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import Workspace
+from .ordered import causal_quantiles, exact_quantiles
+
 
 def season_folds(df: DataFrame, season: str) -> DataFrame:
     """``(fold, train_season, valid_season)``: every season with all the seasons before it."""
@@ -21,10 +24,6 @@ def season_folds(df: DataFrame, season: str) -> DataFrame:
     return pairs.join(F.broadcast(first), "valid_season").select("fold", "train_season", "valid_season")
 
 
-#: Rank error of the imputed medians: exact for up to 100,000 rows, and a bounded sketch beyond.
-MEDIAN_ERROR = 1e-5
-
-
 def ridge(alpha: float, n: int, label: str, features: str = "features", prediction: str = "prediction") -> LinearRegression:
     """Least squares with an L2 penalty alpha on the sum of squares: the library's objective is a mean, hence alpha / n."""
     return LinearRegression(
@@ -32,26 +31,56 @@ def ridge(alpha: float, n: int, label: str, features: str = "features", predicti
     )
 
 
-def prepared(inputs: Sequence[str], impute: str = "median") -> list:
-    """Stages from raw columns to a vector; imputation sees training rows only, or is the constant zero."""
-    filled = [f"{c}__filled" for c in inputs]
-    stages = [Imputer(strategy="median", relativeError=MEDIAN_ERROR, inputCols=list(inputs), outputCols=filled)] if impute == "median" else []
-    return [*stages, VectorAssembler(inputCols=filled if impute == "median" else list(inputs), outputCol="features")]
+def prepared(inputs: Sequence[str]) -> list:
+    """The stage from filled columns to a vector."""
+    return [VectorAssembler(inputCols=[f"{c}__filled" for c in inputs], outputCol="features")]
+
+
+def medians(train: DataFrame, inputs: Sequence[str]) -> dict[str, float]:
+    """The exact interpolated median of each input over the training rows; without values, zero."""
+    found = {c: exact_quantiles(train.select(c), (), c, (0.5,)).first() for c in inputs}
+    return {c: r.q[0] if r else 0.0 for c, r in found.items()}
+
+
+def filled(df: DataFrame, middle: dict[str, float]) -> DataFrame:
+    """df with ``<input>__filled``: the input, or the training median where it is missing."""
+    return df.withColumns({f"{c}__filled": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(v)) for c, v in middle.items()})
+
+
+def season_medians(df: DataFrame, season: str, inputs: Sequence[str]) -> dict[int, dict[str, float]]:
+    """For each season, the medians of the inputs over all earlier seasons; one pass an input for all folds."""
+    out: dict[int, dict[str, float]] = {}
+    for c in inputs:
+        for r in causal_quantiles(df.select(season, c), season, c, (0.5,), 1).collect():  # a row a season
+            out.setdefault(r[season], {})[c] = r.q[0]
+    return out
+
 
+def walk_forward(
+    df: DataFrame, season: str, inputs: Sequence[str], label: str, learner: Callable[[int], Estimator], workspace: Workspace | None = None
+) -> DataFrame:
+    """Out-of-fold predictions of each season by a model of the seasons before, stamped with the last season it saw.
 
-def walk_forward(df: DataFrame, season: str, inputs: Sequence[str], label: str, learner: Callable[[int], Estimator], seasons: Sequence[int]) -> DataFrame:
-    """Out-of-fold predictions of each season by a model of the seasons before, stamped with the last season it saw."""
+    The rows are written once and every fold reads that table; the predictions are written too, so that a stage after
+    this one learns from a table. Seasons without earlier labelled rows have none.
+    """
+    work = workspace or Workspace(df.sparkSession, "folds")
+    source = work.save(df, "rows")
+    known = source.where(F.col(label).isNotNull()).groupBy(season).agg(F.count("*").alias("n")).collect()  # a row a season
+    middle = season_medians(source.where(F.col(label).isNotNull()), season, inputs)
+    valid = sorted(r[season] for r in source.select(season).where(F.col(season).isNotNull()).distinct().collect())
     parts = []
-    for valid in seasons:
-        train = df.where((F.col(season) < valid) & F.col(label).isNotNull())
-        seen = train.agg(F.count("*").alias("n"), F.max(season).alias("last")).first()
-        if seen.n == 0:
+    for k in valid:
+        seen = {r[season]: r.n for r in known if r[season] is not None and r[season] < k}
+        if not seen:
             continue
-        model = Pipeline(stages=[*prepared(inputs), learner(seen.n)]).fit(train)
-        out = model.transform(df.where(F.col(season) == valid))
-        parts.append(out.select(*df.columns, "prediction", F.lit(seen.last).cast("long").alias("max_train_season")))
-    none = df.limit(0).select("*", F.lit(None).cast("double").alias("prediction"), F.lit(None).cast("long").alias("max_train_season"))
-    return reduce(DataFrame.unionByName, parts or [none])
+        fill = {c: middle.get(k, {}).get(c, 0.0) for c in inputs}
+        train = filled(source.where((F.col(season) < k) & F.col(label).isNotNull()), fill)
+        model = Pipeline(stages=[*prepared(inputs), learner(sum(seen.values()))]).fit(train)
+        out = model.transform(filled(source.where(F.col(season) == k), fill))
+        parts.append(out.select(*df.columns, "prediction", F.lit(max(seen)).cast("long").alias("max_train_season")))
+    none = source.limit(0).select("*", F.lit(None).cast("double").alias("prediction"), F.lit(None).cast("long").alias("max_train_season"))
+    return work.save(reduce(DataFrame.unionByName, parts or [none]), "predictions")
 
 
 def weighted_cell(predictions: dict[str, float], intercept: float) -> tuple[Column, Column]:

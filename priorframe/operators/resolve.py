@@ -96,10 +96,15 @@ def resolve_ids(rows: DataFrame, known: DataFrame, key: str, direct: str, name:
     """
     norm = known.select("id", normalize_name(F.col("name")).alias("n"), letters_upper(F.col("kind")).alias("k"))
     by_both = norm.groupBy("n", "k").agg(F.count_distinct("id").alias("c2"), F.min("id").alias("i2"))
-    by_name = norm.groupBy("n").agg(F.count_distinct("id").alias("c1"), F.min("id").alias("i1"), F.sort_array(F.collect_set("id")).alias("all"))
+    by_name = norm.groupBy("n").agg(F.count_distinct("id").alias("c1"), F.min("id").alias("i1"))
     out = rows.withColumn("n", normalize_name(F.col(name))).withColumn("k", letters_upper(F.col(kind)))
+    # each name and kind that is asked for is resolved once; candidates are listed for the ambiguous names alone
+    asked = out.select("n", "k").where("n is not null").distinct().join(by_both, ["n", "k"], "left").join(by_name, "n", "left")
+    open_ = asked.where("c1 > 1 and not coalesce(c2 = 1, false)").select("n").distinct()
+    listed = norm.join(open_, "n", "left_semi").groupBy("n").agg(F.sort_array(F.collect_set("id")).alias("all"))
+    asked = asked.join(listed, "n", "left").withColumnRenamed("k", "__k")
     out = out.join(known.select(F.col("id").alias("__direct")).distinct(), F.col(direct) == F.col("__direct"), "left")
-    out = out.join(by_both, ["n", "k"], "left").join(by_name, "n", "left")
+    out = out.join(asked.withColumnRenamed("n", "__n"), (F.col("n") == F.col("__n")) & F.col("k").eqNullSafe(F.col("__k")), "left")
     method = (
         F.when(F.col("__direct").isNotNull(), "direct").when(F.col("c2") == 1, "name_kind").when(F.col("c1") == 1, "name")
         .when(F.col("c1") > 1, "ambiguous").otherwise("unmatched")

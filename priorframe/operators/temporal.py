@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import null_safe_join
+
 
 def prior_window(partition: Sequence[str], order: Sequence[str], n: int | None = None) -> WindowSpec:
     """Rows before the present one, all or the last ``n``."""
@@ -29,36 +31,68 @@ def trailing_mean(df: DataFrame, value: str, n: int, partition: Sequence[str], o
     """Mean of the last n rows, nulls counting as rows; with skip_null, of the last n rows that have a value."""
     if not skip_null:
         return df.withColumn(out, F.avg(value).over(prior_window(partition, order, n)))
-    # the mean up to each row that has a value, among those rows alone, is carried to the rows after it
+    # the mean up to each row that has a value, among those rows alone, is carried to the rows after it; rows dealt by the
+    # coarser key serve both windows
+    df = df.repartition(*partition)
     there = Window.partitionBy(*partition, F.col(value).isNull()).orderBy(*order).rowsBetween(1 - n, 0)
     rows = df.withColumn("__mean", F.when(F.col(value).isNotNull(), F.avg(value).over(there)))
     return rows.withColumn(out, F.last("__mean", ignorenulls=True).over(prior_window(partition, order))).drop("__mean")
 
 
+def _moment(df: DataFrame, column: str) -> Column:
+    """A time as a number: microseconds of a timestamp, days of a date, a number itself."""
+    kind = dict(df.dtypes)[column]
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.unix_date(column) if kind == "date" else F.col(column)
+
+
+def time_slices(df: DataFrame, column: str, slices: int) -> list:
+    """At most ``slices`` - 1 times that cut df's rows into parts of about equal size (a bounded sketch, a few numbers)."""
+    shares = [k / slices for k in range(1, slices)]
+    cuts = df.agg(F.percentile_approx(_moment(df, column), shares, 100 * slices).alias("cuts")).first().cuts
+    return sorted(set(cuts or []))
+
+
 def asof_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str],
-    strict: bool = False, forward: bool = False, prefix: str = "",
+    strict: bool = False, forward: bool = False, prefix: str = "", slices: int = 1,
 ) -> DataFrame:
     """Each left row with the values of the nearest right row before it (or after it, ``forward``) of the same keys.
 
-    One union, one shuffle on the keys and one sort: rows do not multiply, and null times never match. ``strict``
-    leaves out right rows of the same time. Of right rows with one time the greatest values win.
+    One union, one shuffle and one sort: rows do not multiply, and null times never match. ``strict`` leaves out right
+    rows of the same time. Of right rows with one time the greatest values win (the smallest, ``forward``).
+
+    With ``slices`` above one a key's rows are dealt to slices of time, so that a frequent key is many groups; what the
+    slices before (after, ``forward``) hold last is carried over from a table of one row for each key and slice.
     """
     left_side = int(strict == forward)  # whether a left row sorts after right rows of the same time
     row, taken = F.struct(*left.columns), F.struct(F.col(right_time).alias("__at"), *(F.col(v) for v in values))
-    lefts = left.select(*keys, F.col(left_time).alias("__time"), F.lit(left_side).alias("__side"), row.alias("__row"), F.lit(None).alias("__taken"))
+    cuts = time_slices(right, right_time, slices) if slices > 1 else []
+    number = lambda df, c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < _moment(df, c))) if cuts else F.lit(0)
+    lefts = left.select(*keys, F.col(left_time).alias("__time"), F.lit(left_side).alias("__side"), row.alias("__row"), F.lit(None).alias("__taken"), number(left, left_time).alias("__slice"))
     rights = right.where(F.col(right_time).isNotNull()).select(
-        *keys, F.col(right_time).alias("__time"), F.lit(1 - left_side).alias("__side"), F.lit(None).alias("__row"), taken.alias("__taken")
+        *keys, F.col(right_time).alias("__time"), F.lit(1 - left_side).alias("__side"), F.lit(None).alias("__row"), taken.alias("__taken"), number(right, right_time).alias("__slice")
     )
+    by = [*keys, "__slice"]
     both = lefts.unionByName(rights)
+    both = both.repartition(*by) if cuts else both  # the windows and the carried rows share this shuffle
     order = [F.col("__time").asc(), F.col("__side").asc(), F.col("__taken").asc_nulls_first()]
     if forward:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
         found = F.first("__taken", ignorenulls=True).over(w)
     else:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         found = F.last("__taken", ignorenulls=True).over(w)
     rows = both.withColumn("__found", found).where(F.col("__row").isNotNull())
+    if cuts:
+        ends = both.groupBy(*by).agg((F.min if forward else F.max)("__taken").alias("__end"))
+        along = Window.partitionBy(*keys).orderBy("__slice")
+        if forward:
+            carried = F.first("__end", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+        else:
+            carried = F.last("__end", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+        rows = null_safe_join(rows, ends.select(*by, carried.alias("__carried")), by, "left").withColumn("__found", F.coalesce("__found", "__carried"))
     seen = F.col("__time").isNotNull()
     picked = [F.when(seen, F.col(f"__found.{v}")).alias(prefix + v) for v in values]
     return rows.select("__row.*", *picked, F.when(seen, F.col("__found.__at")).alias(f"{prefix}{right_time}"))

@@ -113,14 +113,25 @@ def a11(spark, sf_dir):
 m AS (SELECT s.season, s.period, x.grp, x.entity, sum(x.qty) AS s, count(x.qty) AS n FROM spine s JOIN months x ON x.season = s.season AND x.period < s.period GROUP BY ALL)
 SELECT season, period, grp, round(avg(s / n) + 1e-9, 6) AS league_mean FROM m WHERE n > 0 GROUP BY ALL""")
 def a12(spark, sf_dir):
-    """Mean of entities' earlier means per period; entities without a row in a period still count."""
+    """Mean of entities' earlier means per period; entities without a row in a period still count.
+
+    An entity's mean changes after its rows only: the changes are summed up per period and group, and added up over the
+    periods of a season.
+    """
     rows = months(facts(spark, sf_dir))
-    top = rows.groupBy("season").agg(F.max("period").alias("top"))
-    spine = top.select("season", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top") + 1)).alias("period"))
-    grid = rows.select("season", "grp", "entity").distinct().join(F.broadcast(spine), "season")
-    filled = grid.join(rows.select("season", "grp", "entity", "period", "qty"), ["season", "grp", "entity", "period"], "left")
-    mean = F.avg("qty").over(prior_values(("season", "grp", "entity"), "period"))
-    return filled.withColumn("mean", mean).where("mean is not null").groupBy("season", "period", "grp").agg(F.round(F.avg("mean") + 1e-9, 6).alias("league_mean"))
+    own = Window.partitionBy("season", "grp", "entity").orderBy("period")
+    rows = rows.select("season", "grp", "entity", "period", F.avg("qty").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("mean"))
+    before = F.lag("mean").over(own)
+    # means are added as decimals, so that a mean that goes takes away what it brought
+    exact = lambda c: F.coalesce(c.cast("decimal(30,14)"), F.lit(0))
+    there = lambda c: c.isNotNull().cast("int")
+    moved = rows.select("season", "grp", (F.col("period") + 1).alias("period"), (exact(F.col("mean")) - exact(before)).alias("d"), (there(F.col("mean")) - there(before)).alias("n"))
+    steps = moved.groupBy("season", "grp", "period").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    top = steps.groupBy("season").agg(F.max("period").alias("top"))
+    spine = steps.select("season", "grp").distinct().join(F.broadcast(top), "season").select("season", "grp", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top"))).alias("period"))
+    upto = Window.partitionBy("season", "grp").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    total = spine.join(steps, ["season", "grp", "period"], "left").select("season", "period", "grp", F.sum("d").over(upto).alias("d"), F.sum("n").over(upto).alias("n"))
+    return total.where("n > 0").select("season", "period", "grp", F.round(F.col("d").cast("double") / F.col("n") + 1e-9, 6).alias("league_mean"))
 
 
 @query("A13", f"""WITH {MONTHS}, p AS (SELECT season, period, sum(qty) AS s, count(DISTINCT team) AS n FROM months GROUP BY ALL)

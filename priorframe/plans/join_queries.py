@@ -86,12 +86,17 @@ def p09(spark, sf_dir):
     return latest_per_key(rows, ["game", "play"], [F.col("part")])
 
 
+#: Slices of time of one frequent entity in as-of joins.
+SLICES = 32
+
+
 # --- joins -----------------------------------------------------------------------------------------------------------
-@query("J01", "SELECT o_orderkey, o_custkey, event_id FROM orders JOIN events ON o_custkey = user_id AND date_part('day', o_orderdate) = date_part('day', ts)")
+@query("J01", f"WITH {MONTHS} SELECT a.entity, a.season, a.period, a.grp, a.qty, p.qty AS projected FROM months a JOIN months p ON p.entity = a.entity AND p.season + 1 = a.season AND p.period = a.period AND p.grp = a.grp")
 def j01(spark, sf_dir):
-    orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
-    same = (orders.o_custkey == events.user_id) & (F.dayofmonth(orders.o_orderdate) == F.dayofmonth(events.ts))
-    return orders.join(events, same).select("o_orderkey", "o_custkey", "event_id")
+    """Actuals met with projections (the same period a season before) on four keys, unique on both sides."""
+    actual = months(facts(spark, sf_dir)).select("entity", "season", "period", "grp", "qty")
+    projected = actual.select("entity", (F.col("season") + 1).alias("season"), "period", "grp", F.col("qty").alias("projected"))
+    return actual.join(projected, ["entity", "season", "period", "grp"])
 
 
 @query("J02", """SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey
@@ -139,7 +144,7 @@ def j05(spark, sf_dir):
     """The last view strictly before both the purchase and a cut."""
     left = _events(spark, sf_dir, "purchase").withColumn("until", F.least("ts", F.expr(CUT)))
     right = _events(spark, sf_dir, "view").select("user_id", F.col("ts").alias("at"), "cents")
-    rows = asof_join(left, right, ["user_id"], "until", "at", ["cents"], strict=True, prefix="view_")
+    rows = asof_join(left, right, ["user_id"], "until", "at", ["cents"], strict=True, prefix="view_", slices=SLICES)
     return rows.select("event_id", "user_id", "view_at", "view_cents")
 
 
@@ -147,7 +152,7 @@ def j05(spark, sf_dir):
 ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'view') v ON b.user_id = v.user_id AND b.ts >= v.ts""")
 def j06(spark, sf_dir):
     right = _events(spark, sf_dir, "view").select("user_id", F.col("ts").alias("at"), "cents")
-    rows = asof_join(_events(spark, sf_dir, "click"), right, ["user_id"], "ts", "at", ["cents"], prefix="view_")
+    rows = asof_join(_events(spark, sf_dir, "click"), right, ["user_id"], "ts", "at", ["cents"], prefix="view_", slices=SLICES)
     return rows.select("event_id", "user_id", "view_at", "view_cents")
 
 
@@ -157,7 +162,7 @@ LEFT JOIN (SELECT user_id, max_by(game, ts) AS game FROM g GROUP BY 1) l ON l.us
 def j07(spark, sf_dir):
     """The first event at or after a stamp, else the last one."""
     games = _events(spark, sf_dir, "purchase").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("game"))
-    rows = asof_join(_events(spark, sf_dir, "signup"), games, ["user_id"], "ts", "at", ["game"], forward=True, prefix="next_")
+    rows = asof_join(_events(spark, sf_dir, "signup"), games, ["user_id"], "ts", "at", ["game"], forward=True, prefix="next_", slices=SLICES)
     last = games.groupBy("user_id").agg(F.max_by("game", "at").alias("last_game"))
     return rows.join(last, "user_id", "left").select("event_id", "user_id", F.coalesce("next_game", "last_game").alias("game"))
 

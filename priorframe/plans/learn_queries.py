@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_cdf
 from ..operators import learn as L
+from ..sources.tables import Workspace
 from .aggregate_queries import EDGE, edges, games
 from .facts import FACT, facts
 from .registry import query
@@ -23,9 +24,11 @@ def frame(spark, sf_dir):
     return rows.withColumn("share", (F.col("entity") % 10).cast("double")).withColumn("label", F.col("qty"))
 
 
-def seasons(rows):
-    """The distinct seasons in order, a few rows; :func:`walk_forward` skips those without rows to learn from."""
-    return [r.season for r in rows.select("season").where("season is not null").distinct().orderBy("season").collect()]
+def _split(spark, sf_dir, inputs):
+    """Training rows and a holdout season, both filled with the training medians."""
+    rows = Workspace(spark, "holdout").save(frame(spark, sf_dir), "rows")
+    middle = L.medians(rows.where("season < 2001"), inputs)
+    return L.filled(rows.where("season < 2001"), middle), L.filled(rows.where("season = 2001"), middle)
 
 
 @query("L01", f"WITH {FACT}, s AS (SELECT DISTINCT season FROM fact), p AS (SELECT a.season AS valid_season, b.season AS train_season FROM s a JOIN s b ON b.season < a.season) SELECT count(*) OVER (PARTITION BY valid_season) AS fold, train_season, valid_season FROM p")
@@ -37,24 +40,22 @@ def l01(spark, sf_dir):
 def l02(spark, sf_dir):
     learner = lambda n: GBTRegressor(labelCol="label", featuresCol="features", maxIter=5, maxDepth=3, seed=3)
     rows = frame(spark, sf_dir)
-    out = L.walk_forward(rows, "season", INPUTS, "label", learner, seasons(rows))
+    out = L.walk_forward(rows, "season", INPUTS, "label", learner)
     return out.select("game", "season", F.round("prediction", 4).alias("prediction"), "max_train_season")
 
 
-@query("L03", f"WITH {EDGE}, m AS (SELECT quantile_disc(pred, 0.5) AS mid FROM edge WHERE season < 2000 AND qty IS NOT NULL) SELECT game, coalesce(pred, (SELECT mid FROM m)) AS filled, pred IS NULL AS imputed FROM edge WHERE season >= 2000 AND qty IS NOT NULL")
+@query("L03", f"WITH {EDGE}, m AS (SELECT median(pred) AS mid FROM edge WHERE season < 2000 AND qty IS NOT NULL) SELECT game, coalesce(pred, (SELECT mid FROM m)) AS filled, pred IS NULL AS imputed FROM edge WHERE season >= 2000 AND qty IS NOT NULL")
 def l03(spark, sf_dir):
     """Missing inputs filled with the medians of the training seasons."""
-    rows = frame(spark, sf_dir)
-    model = Pipeline(stages=L.prepared(INPUTS)).fit(rows.where("season < 2000"))
-    out = model.transform(rows.where("season >= 2000"))
+    rows = Workspace(spark, "imputed").save(frame(spark, sf_dir), "rows")
+    out = L.filled(rows.where("season >= 2000"), L.medians(rows.where("season < 2000"), INPUTS))
     return out.select("game", F.col("pred__filled").alias("filled"), (F.col("pred").isNull() & F.col("pred__filled").isNotNull()).alias("imputed"))
 
 
 @query("L04")
 def l04(spark, sf_dir):
     """Ridge on a holdout season against the training mean."""
-    rows = frame(spark, sf_dir)
-    train, holdout = rows.where("season < 2001"), rows.where("season = 2001")
+    train, holdout = _split(spark, sf_dir, INPUTS)
     stats = train.agg(F.count("*").alias("n"), F.avg("label").alias("mean")).first()
     out = Pipeline(stages=[*L.prepared(INPUTS), L.ridge(10.0, stats.n, "label")]).fit(train).transform(holdout)
     mae = lambda c: F.avg(F.abs(F.col("label") - c))
@@ -65,10 +66,10 @@ def l04(spark, sf_dir):
 def l05(spark, sf_dir):
     """A second-stage ridge over two bases' out-of-fold predictions, itself out of fold."""
     rows = frame(spark, sf_dir)
-    every = seasons(rows)
-    base = L.walk_forward(rows, "season", ["pred", "naive"], "label", lambda n: L.ridge(1.0, n, "label"), every).withColumnRenamed("prediction", "base_a").drop("max_train_season")
-    both = L.walk_forward(base, "season", ["share"], "label", lambda n: L.ridge(1.0, n, "label"), every).withColumnRenamed("prediction", "base_b").drop("max_train_season")
-    out = L.walk_forward(both, "season", ["base_a", "base_b"], "label", lambda n: L.ridge(5.0, n, "label"), every)
+    stage = lambda df, inputs, alpha: L.walk_forward(df, "season", inputs, "label", lambda n: L.ridge(alpha, n, "label"))
+    base = stage(rows, ["pred", "naive"], 1.0).withColumnRenamed("prediction", "base_a").drop("max_train_season")
+    both = stage(base, ["share"], 1.0).withColumnRenamed("prediction", "base_b").drop("max_train_season")
+    out = stage(both, ["base_a", "base_b"], 5.0)
     return out.select("game", "season", F.round("prediction", 4).alias("prediction"), "max_train_season")
 
 
@@ -92,8 +93,7 @@ def l07(spark, sf_dir):
 @query("L08")
 def l08(spark, sf_dir):
     """What a group of inputs adds: the holdout error with and without it, on the same rows."""
-    rows = frame(spark, sf_dir)
-    train, holdout = rows.where("season < 2001"), rows.where("season = 2001")
+    train, holdout = _split(spark, sf_dir, INPUTS)
     n = train.count()
     errors = []
     for name, inputs in (("without", ["pred"]), ("with", INPUTS)):
@@ -105,12 +105,11 @@ def l08(spark, sf_dir):
 @query("L09")
 def l09(spark, sf_dir):
     """A calibrated availability classifier and a role regression."""
-    rows = frame(spark, sf_dir).withColumn("active", (F.col("qty") > 60).cast("double"))
-    train = rows.where("season < 2001")
+    train, holdout = (df.withColumn("active", (F.col("qty") > 60).cast("double")) for df in _split(spark, sf_dir, INPUTS))
     model = Pipeline(stages=[*L.prepared(INPUTS), LogisticRegression(labelCol="active", featuresCol="features", maxIter=20)]).fit(train)
     raw = lambda df: model.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("features", "prediction", "rawPrediction", "probability")
     isotonic = IsotonicRegression(labelCol="active", featuresCol="p", predictionCol="calibrated").fit(raw(train))
     role = Pipeline(stages=[*L.prepared(["pred", "share"]), L.ridge(1.0, train.count(), "label")]).fit(train)
-    scored = isotonic.transform(raw(rows.where("season = 2001"))).drop("pred__filled", "naive__filled", "share__filled")
+    scored = isotonic.transform(raw(holdout))
     out = role.transform(scored)
     return out.select("game", F.round("calibrated", 4).alias("p_active"), F.round("prediction", 4).alias("role"))

@@ -139,16 +139,18 @@ volume AS (SELECT s.team, s.grp, s.season, s.period, m.entity, coalesce(sum(x.qt
  FROM spine s JOIN members m USING (team, grp, season) LEFT JOIN months x ON x.entity = m.entity AND x.season = s.season AND x.team = s.team AND x.grp = s.grp AND x.period < s.period GROUP BY ALL)
 SELECT team, grp, season, period::BIGINT AS period, entity, row_number() OVER (PARTITION BY team, grp, season, period ORDER BY prior_qty DESC, entity) AS pos_rank FROM volume WHERE prior_qty > 0""")
 def w12(spark, sf_dir):
-    """Rank within team and group by what was gathered before each period; ties by id. Unseen entities have no row."""
+    """Rank within team and group by what was gathered before each period; ties by id. Unseen entities have no row.
+
+    A running total stands from the period after a row to the entity's next row, and is written out for these periods only.
+    """
     month = months(facts(spark, sf_dir))
     keys = ["team", "grp", "season"]
-    last = month.groupBy(*keys).agg(F.max("period").alias("top"))
-    spine = last.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col("top") + 1)).alias("period"))
-    grid = month.select(*keys, "entity").distinct().join(spine, keys)
-    filled = grid.join(month.select(*keys, "entity", "period", "qty"), [*keys, "entity", "period"], "left")
-    w = prior_values((*keys, "entity"), "period")
-    volume = filled.withColumn("prior_qty", F.coalesce(F.sum("qty").over(w), F.lit(0.0))).where("prior_qty > 0")
-    rank = F.row_number().over(Window.partitionBy(*keys, "period").orderBy(F.desc("prior_qty"), "entity")).cast("long")
+    own = Window.partitionBy(*keys, "entity").orderBy("period")
+    top = F.max("period").over(Window.partitionBy(*keys))
+    rows = month.select(*keys, "entity", "period", top.alias("top"), F.sum("qty").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("total"), F.lead("period").over(own).alias("next"))
+    held = F.sequence(F.col("period") + 1, F.coalesce("next", F.col("top") + 1))
+    volume = rows.where("total > 0").select(*keys, F.explode(held).alias("period"), "entity", "total")
+    rank = F.row_number().over(Window.partitionBy(*keys, "period").orderBy(F.desc("total"), "entity")).cast("long")
     return volume.select("team", "grp", "season", "period", "entity", rank.alias("pos_rank"))
 
 
