@@ -16,6 +16,7 @@ or, by :func:`remove_leaks`, kept.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -62,7 +63,11 @@ def _window_hashes(seq: list[int], stretches: list[tuple[int, int]], length: int
 
 
 def tile(item: list[int], text: list[int], least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
-    """Greedy tiles ``(length, item start, text start)``. Word numbers are positive; zero in text never matches."""
+    """Greedy tiles ``(length, item start, text start)``. Word numbers are positive; zero in text never matches.
+
+    The longest match of free words is marked first, ties by their places, until none of ``least`` words is left. Every free
+    match of a pass is part of one found at its start, so a queue of these and of what is left of them is complete.
+    """
     free_item, free_text = np.ones(len(item), bool), np.array(text, np.int64) > 0
     tiles: list[tuple[int, int, int]] = []
     length = max(least, min(FIRST_LENGTH, len(item), len(text)))
@@ -87,31 +92,24 @@ def tile(item: list[int], text: list[int], least: int = SEED_WORDS) -> list[tupl
         if longest > 2 * length:
             length = longest
             continue
-        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if not (free_item[i : i + n].all() and free_text[j : j + n].all()):
-                continue  # what is left of it is found again at its own length
-            free_item[i : i + n] = False
-            free_text[j : j + n] = False
-            tiles.append((n, i, j))
-        if found and any(n >= length for n, _, _ in _left(item, text, free_item, free_text, length)):
-            continue
+        queue = [(-n, i, j) for n, i, j in found]
+        heapq.heapify(queue)
+        while queue:
+            n, i, j = heapq.heappop(queue)
+            free = free_item[i : i - n] & free_text[j : j - n]
+            if free.all():
+                free_item[i : i - n] = False
+                free_text[j : j - n] = False
+                tiles.append((-n, i, j))
+                continue
+            # what longer tiles have left of it comes up again at its own length
+            for x, y in _stretches(free, length):
+                heapq.heappush(queue, (x - y, i + x, j + x))
         if length == least:
             return tiles
         length = max(least, length // 2)
 
 
-def _left(item, text, free_item, free_text, length):
-    """Matches of this length that marking has cut off from longer ones."""
-    table: dict[int, list[int]] = {}
-    for h, i in _window_hashes(item, _stretches(free_item, length), length):
-        table.setdefault(h, []).append(i)
-    for h, j in _window_hashes(text, _stretches(free_text, length), length):
-        for i in table.get(h, ()):
-            if item[i : i + length] == text[j : j + length]:
-                yield length, i, j
-                return
-
-
 @dataclass
 class Benchmark:
     """A bounded benchmark: its items as word numbers and a sorted table of seed hashes."""

@@ -108,6 +108,22 @@ def plain_coverage(item, text):
         total += n
 
 
+def test_tiles_equal_the_definition():
+    """Small alphabets and overlapping passages, where longer tiles cut shorter ones: length by length the same tiles."""
+    rng = random.Random(12)
+    for k in range(4000):
+        if k % 2:
+            size = rng.choice([2, 3, 4])
+            item, text = ([rng.randint(1, size) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        else:
+            item = list(range(1, 61))
+            text = []
+            for _ in range(rng.randint(1, 5)):
+                a = rng.randrange(55)
+                text += item[a : a + rng.randint(3, 25)]
+        assert sum(t[0] for t in D.tile(item, text)) == round(plain_coverage(item, text) * len(item)) if item else D.tile(item, text) == []
+
+
 def test_coverage_against_plain_tiling(spark):
     rng = random.Random(3)
     items = {k: [f"t{k}_{i}" for i in range(rng.randint(6, 24))] for k in range(6)}
