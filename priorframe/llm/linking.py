@@ -21,6 +21,8 @@ from .scratch import Scratch
 MAX_ROUNDS = 200
 #: Two longs each, so at most 32 MB go to every task.
 BROADCAST_BUCKETS = 1_000_000
+#: Members of a bucket that one task compares with the bucket's members.
+BUCKET_PART = 400
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -59,12 +61,17 @@ def link_buckets(
     near: Callable[[Column, Column], Column] | None = None,
     verify: Callable[[DataFrame], DataFrame] | None = None,
     marks: DataFrame | None = None,
+    details: Callable[[DataFrame], DataFrame] | None = None,
+    agree: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """``members(bucket, id, home)`` to ``(id, comp)`` of the ids that have a link.
 
     Two ids are linked if they share a bucket where at least one is at home, ``near`` holds for their marks and
     ``verify`` keeps their pair ``(a, b)``. An id occurs at most once in a bucket. ``marks(id, mark)`` has the marks; an
     id is its own mark without it.
+
+    With ``details`` and ``agree`` the second round compares pairs where they meet and writes none but links: ``details``
+    turns ids into ``(id, detail)``, and ``agree(detail, detail)`` says what ``verify`` would.
     """
     near = near or (lambda a, b: F.lit(True))
     verify = verify or (lambda pairs: pairs)
@@ -90,13 +97,18 @@ def link_buckets(
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = scratch.save(mixed.where(F.col("low") != F.col("high")).select("bucket"), "mixed")
     left = placed.join(mixed, "bucket", "left_semi").join(marks, "id", "left").withColumn("mark", F.coalesce("mark", "id"))
+    if details is not None:
+        left = left.join(details(left.select("id").distinct()), "id")
     left = scratch.save(left, "left")
-    x, y = left.where("home").alias("x"), left.alias("y")
-    apart = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
-        (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.home") | (F.col("x.id") < F.col("y.id"))) & near(F.col("x.mark"), F.col("y.mark"))
-    )
-    pairs = apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    second = scratch.save(verify(pairs), "apart")
+    if agree is not None:
+        second = scratch.save(_linked_in_place(left, near, agree), "apart")
+    else:
+        x, y = left.where("home").alias("x"), left.alias("y")
+        apart = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
+            (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.home") | (F.col("x.id") < F.col("y.id"))) & near(F.col("x.mark"), F.col("y.mark"))
+        )
+        pairs = apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        second = scratch.save(verify(pairs), "apart")
     if second.isEmpty():
         return one
     comp = lambda end: one.select(F.col("id").alias(end), F.col("comp").alias(f"comp_{end}"))
@@ -107,3 +119,19 @@ def link_buckets(
     tops = two.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
     joined = every.join(tops, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
     return scratch.save(joined, "linked")
+
+
+def _linked_in_place(left: DataFrame, near: Callable, agree: Callable) -> DataFrame:
+    """Links ``(a, b)`` between members of a bucket that are in different components, tested inside the join.
+
+    Pairs grow with the square of a bucket, so none is written or moved: the members move, a large bucket's home side in
+    parts, each of which meets a copy of the bucket.
+    """
+    sizes = left.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_PART).alias("parts"))
+    rows = left.join(sizes, "bucket")
+    x = rows.where("home").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("x")
+    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
+    met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") != F.col("y.comp"))
+    met = met & (~F.col("y.home") | (F.col("x.id") < F.col("y.id"))) & near(F.col("x.mark"), F.col("y.mark"))
+    links = x.join(y, met & agree(F.col("x.detail"), F.col("y.detail")))
+    return links.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
