@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.quality import quarantine
+from ..operators.aggregate import mode_per_key
+from ..operators.quality import failed_rules, quarantine
+from ..operators.rank import global_ordinal
 from ..operators.temporal import filtered_form, prior_values, prior_window, safe_ratio
-from ..sources.tables import Workspace
-from .aggregate_queries import a12, a13, a17, a24, a25
+from ..sources.tables import VersionedTable, Workspace, promote_run, protected_upsert
+from ..streaming.stateful import run_batches
+from .aggregate_queries import a06, a07, a08, a11, a12, a13, a14, a17, a24, a25
 from .facts import FACT, PLAYS, facts, plays, table
-from .join_queries import SEVERITY, j04, j10, u10
+from .join_queries import SEVERITY, j02, j04, j10, u10
 from .metric_queries import m10, m11, m16
-from .rank_queries import t03, t04, t07, t08, t09, t10
+from .rank_queries import BOARD, board, t03, t04, t07, t08, t09, t10
+from .rating_queries import r05
 from .registry import ORACLES, query
-from .window_queries import KALMAN, prior_of, w02, w09, w10, w11, w12, w15
+from .scalar_queries import f19
+from .window_queries import KALMAN, prior_of, w02, w09, w10, w11, w12, w13, w15
 
 KEYS = ["entity", "season", "period", "game"]
 SEASON, ORDER = ("entity", "season"), ("period", "game")
@@ -63,13 +68,26 @@ ENTITY_SQL = " JOIN ".join(
 
 
 @query("C01", f"""SELECT * FROM {ENTITY_SQL} LEFT JOIN {_with('W02')} USING (team, season, period) LEFT JOIN {_with('W15')} USING (team, season, period)
- LEFT JOIN {_with('W12')} USING (team, grp, season, period, entity) LEFT JOIN {_with('A12')} USING (season, period, grp) LEFT JOIN {_with('A13')} USING (season, period)""")
+ LEFT JOIN {_with('W12')} USING (team, grp, season, period, entity) LEFT JOIN {_with('A12')} USING (season, period, grp) LEFT JOIN {_with('A13')} USING (season, period)
+ LEFT JOIN (SELECT o_orderkey AS game, c_name, n_name, r_name FROM {_with('J02')}) USING (game)
+ LEFT JOIN (SELECT game, bool_or(dome) AS dome, max(rule_era) AS rule_era, min(rest) AS rest, sum(scheme) AS scheme FROM {_with('F19')} GROUP BY 1) USING (game)
+ LEFT JOIN (SELECT season, period, team, opponent FROM {_with('J04')}) USING (season, period, team)
+ LEFT JOIN (SELECT opponent, season, period, allowed FROM {_with('A11')} WHERE location = 'R') USING (opponent, season, period)
+ LEFT JOIN (SELECT game, min(defender) AS defender FROM (WITH {PLAYS} SELECT * FROM plays) GROUP BY 1) USING (game)
+ LEFT JOIN {_with('W13')} USING (defender, season, period)""")
 def c01(spark, sf_dir):
-    """The historical feature matrix: an entity's own history from one window, joined with its team's, rank's and league's."""
+    """The historical feature matrix: an entity's own history from one window, joined with its team's, rank's and league's,
+    with names, venue and rules of the game, what the opponent allowed before, and the first defender's tendency."""
     rows = entity_features(facts(spark, sf_dir))
     rows = rows.join(w02(spark, sf_dir), ["team", "season", "period"], "left").join(w15(spark, sf_dir), ["team", "season", "period"], "left")
     rows = rows.join(w12(spark, sf_dir), ["team", "grp", "season", "period", "entity"], "left")
-    return rows.join(a12(spark, sf_dir), ["season", "period", "grp"], "left").join(a13(spark, sf_dir), ["season", "period"], "left")
+    rows = rows.join(a12(spark, sf_dir), ["season", "period", "grp"], "left").join(a13(spark, sf_dir), ["season", "period"], "left")
+    rows = rows.join(j02(spark, sf_dir).withColumnRenamed("o_orderkey", "game"), "game", "left")
+    rules = f19(spark, sf_dir).groupBy("game").agg(F.bool_or("dome").alias("dome"), F.max("rule_era").alias("rule_era"), F.min("rest").alias("rest"), F.sum("scheme").alias("scheme"))
+    rows = rows.join(rules, "game", "left").join(j04(spark, sf_dir).drop("opponent_cents"), ["season", "period", "team"], "left")
+    rows = rows.join(a11(spark, sf_dir).where("location = 'R'").drop("location"), ["opponent", "season", "period"], "left")
+    rows = rows.join(plays(spark, sf_dir).groupBy("game").agg(F.min("defender").alias("defender")), "game", "left")
+    return rows.join(w13(spark, sf_dir), ["defender", "season", "period"], "left")
 
 
 NEXT = (2000, 7)
@@ -97,7 +115,9 @@ def c02(spark, sf_dir):
 @query("C03", f"""WITH {PLAYS}, g AS (SELECT receiver, team, season, period, game, count(*) AS targets, sum(yards) AS yards, count(*) FILTER (WHERE location = 'R') AS caught, sum(yards) FILTER (WHERE location = 'R') AS ret,
  sum(yards) FILTER (WHERE location = 'A') AS acc, count(*) FILTER (WHERE disc >= 8) AS deep, count(*) FILTER (WHERE disc = 0) AS pressed, max(yards) AS longest FROM plays GROUP BY ALL)
 SELECT g.*, targets / sum(targets) OVER t AS target_share, CASE WHEN sum(yards) OVER t > 0 THEN yards / sum(yards) OVER t END AS yard_share, sum(pressed) OVER t / sum(targets) OVER t AS pressure_rate,
- (sum(caught) OVER b)::DOUBLE / nullif(sum(targets) OVER b, 0) AS caught_before, opponent, opponent_cents FROM g LEFT JOIN {_with('J04')} j USING (season, period, team)
+ (sum(caught) OVER b)::DOUBLE / nullif(sum(targets) OVER b, 0) AS caught_before, opponent, opponent_cents, drops, rate AS preferred_rate, main.other AS main_other, main.share AS main_share
+FROM g LEFT JOIN {_with('J04')} j USING (season, period, team) LEFT JOIN (SELECT game, drops FROM {_with('A07')}) USING (game) LEFT JOIN {_with('A08')} USING (receiver)
+LEFT JOIN (SELECT receiver, min(other) AS other, any_value(share) AS share FROM {_with('A06')} WHERE is_max GROUP BY 1) main USING (receiver)
 WINDOW t AS (PARTITION BY team, season, period), b AS (PARTITION BY team, season ORDER BY period RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def c03(spark, sf_dir):
     """Play features per entity and game from one scan of the plays: sums, shares of the team, the team's rates, the other side."""
@@ -111,28 +131,55 @@ def c03(spark, sf_dir):
         "*", (F.col("targets") / F.sum("targets").over(team)).alias("target_share"), F.when(F.sum("yards").over(team) > 0, F.col("yards") / F.sum("yards").over(team)).alias("yard_share"),
         (F.sum("pressed").over(team) / F.sum("targets").over(team)).alias("pressure_rate"), safe_ratio(F.sum("caught").over(before), F.sum("targets").over(before)).alias("caught_before"),
     )
-    return rows.join(j04(spark, sf_dir), ["season", "period", "team"], "left")
+    rows = rows.join(j04(spark, sf_dir), ["season", "period", "team"], "left")
+    # charted flags of the game, the entity's rate from the preferred source, and whom it meets most
+    rows = rows.join(a07(spark, sf_dir).select("game", "drops"), "game", "left")
+    rows = rows.join(a08(spark, sf_dir).withColumnRenamed("rate", "preferred_rate"), "receiver", "left")
+    main = a06(spark, sf_dir).where("is_max").groupBy("receiver").agg(F.min("other").alias("main_other"), F.any_value("share").alias("main_share"))
+    return rows.join(main, "receiver", "left")
 
 
 FORM = "SELECT team, season, period, pace, pass_rate, rate_before"
 
 
 @query("C04", f"""WITH f AS (SELECT * FROM {_with('W15')} JOIN {_with('W02')} USING (team, season, period))
-SELECT j.season, j.period, j.team, j.opponent, a.pace, a.pass_rate, a.rate_before, b.pace AS opponent_pace, b.pass_rate AS opponent_pass_rate, b.rate_before AS opponent_rate_before, a.pace - b.pace AS pace_gap, n.n_regionkey = m.n_regionkey AS same_region
+SELECT j.season, j.period, j.team, j.opponent, a.pace, a.pass_rate, a.rate_before, b.pace AS opponent_pace, b.pass_rate AS opponent_pass_rate, b.rate_before AS opponent_rate_before, a.pace - b.pace AS pace_gap, n.n_regionkey = m.n_regionkey AS same_region,
+ s.at_home, s.own_off, s.own_def, s.rival_off, s.rival_def, s.p_win, v.roof
 FROM {_with('J04')} j LEFT JOIN f a ON a.team = j.team AND a.season = j.season AND a.period = j.period LEFT JOIN f b ON b.team = j.opponent AND b.season = j.season AND b.period = j.period
-LEFT JOIN nation n ON n.n_nationkey = j.team LEFT JOIN nation m ON m.n_nationkey = j.opponent""")
+LEFT JOIN nation n ON n.n_nationkey = j.team LEFT JOIN nation m ON m.n_nationkey = j.opponent
+LEFT JOIN (SELECT season, period, home AS team, true AS at_home, home_off AS own_off, home_def AS own_def, away_off AS rival_off, away_def AS rival_def, p_home AS p_win FROM {_with('R05')}
+ UNION ALL SELECT season, period, away, false, away_off, away_def, home_off, home_def, round(1 - p_home, 6) FROM {_with('R05')}) s ON s.team = j.team AND s.season = j.season AND s.period = j.period
+LEFT JOIN (SELECT team, roof FROM (SELECT s_nationkey::BIGINT AS team, roof, count(*) AS n FROM {_with('A14')} JOIN lineitem ON l_orderkey = game AND l_linenumber = play JOIN supplier ON s_suppkey = l_suppkey WHERE roof IS NOT NULL GROUP BY ALL)
+ QUALIFY row_number() OVER (PARTITION BY team ORDER BY n DESC, roof) = 1) v ON v.team = CASE WHEN s.at_home THEN j.team ELSE j.opponent END""")
 def c04(spark, sf_dir):
-    """A row per side of each meeting with both sides' form before it."""
+    """A row per side of each meeting with both sides' form and ratings before it, and the home side's venue."""
     form = w15(spark, sf_dir).join(w02(spark, sf_dir), ["team", "season", "period"]).select("team", "season", "period", "pace", "pass_rate", "rate_before")
     other = form.select(F.col("team").alias("opponent"), "season", "period", *(F.col(c).alias(f"opponent_{c}") for c in ("pace", "pass_rate", "rate_before")))
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), "n_regionkey")
     region = lambda who, out: F.broadcast(nation.select(F.col("nation").alias(who), F.col("n_regionkey").alias(out)))  # noqa: E731  a fixed dimension
     rows = j04(spark, sf_dir).drop("opponent_cents").join(form, ["team", "season", "period"], "left").join(other, ["opponent", "season", "period"], "left")
     rows = rows.join(region("team", "r1"), "team", "left").join(region("opponent", "r2"), "opponent", "left")
-    return rows.select(
+    rows = rows.select(
         "season", "period", "team", "opponent", "pace", "pass_rate", "rate_before", "opponent_pace", "opponent_pass_rate", "opponent_rate_before",
         (F.col("pace") - F.col("opponent_pace")).alias("pace_gap"), (F.col("r1") == F.col("r2")).alias("same_region"),
     )
+    rows = rows.join(rated_sides(spark, sf_dir), ["season", "period", "team"], "left")
+    line, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    played = line.join(supplier, line.l_suppkey == supplier.s_suppkey).select(F.col("l_orderkey").alias("game"), F.col("l_linenumber").cast("long").alias("play"), F.col("s_nationkey").cast("long").alias("venue"))
+    venue = mode_per_key(a14(spark, sf_dir).join(played, ["game", "play"]).where("roof is not null"), ["venue"], "roof")
+    at = F.when(F.col("at_home"), F.col("team")).otherwise(F.col("opponent"))
+    return rows.withColumn("venue", at).join(venue, "venue", "left").drop("venue")
+
+
+def rated_sides(spark, sf_dir) -> DataFrame:
+    """Each meeting's sides as rows of their own: ratings before it and the chance to win, from one scan of the meetings."""
+    rows = r05(spark, sf_dir)
+    side = lambda own, rival, p: F.struct(
+        F.col(own).alias("team"), F.lit(own == "home").alias("at_home"), F.col(f"{own}_off").alias("own_off"), F.col(f"{own}_def").alias("own_def"),
+        F.col(f"{rival}_off").alias("rival_off"), F.col(f"{rival}_def").alias("rival_def"), p.alias("p_win"),
+    )
+    both = F.array(side("home", "away", F.col("p_home")), side("away", "home", F.round(1 - F.col("p_home"), 6)))
+    return rows.select("season", "period", F.explode(both).alias("s")).select("season", "period", "s.*")
 
 
 def preseason(spark, sf_dir, season: int = 2001, multiseason_games: bool = True, age_curve: bool = True, marcel: bool = True, calibrated: bool = True) -> DataFrame:
@@ -167,12 +214,14 @@ def c05(spark, sf_dir):
     return preseason(spark, sf_dir)
 
 
-@query("C06", f"""SELECT entity, place, kind, position, vor, blend, cold FROM {_with('T08')} JOIN {_with('T04')} USING (entity) LEFT JOIN (SELECT entity, blend FROM {_with('T07')}) USING (entity)
- LEFT JOIN (SELECT entity, cold FROM {_with('T03')}) USING (entity)""")
+@query("C06", f"""SELECT entity, place, kind, position, vor, blend, cold, market_rank, market_rank - place AS value_vs_market FROM {_with('T08')} JOIN {_with('T04')} USING (entity) LEFT JOIN (SELECT entity, blend FROM {_with('T07')}) USING (entity)
+ LEFT JOIN (SELECT entity, cold FROM {_with('T03')}) USING (entity) LEFT JOIN (WITH {BOARD} SELECT entity, row_number() OVER (ORDER BY adp DESC, entity) AS market_rank FROM board WHERE adp IS NOT NULL) USING (entity)""")
 def c06(spark, sf_dir):
-    """The draft board: market rows first, then by value, with the blended rank and the cold-start flag."""
+    """The draft board: market rows first, then by value, with the blended rank, the cold-start flag and the value against the market."""
     rows = t08(spark, sf_dir).join(t04(spark, sf_dir), "entity").join(t07(spark, sf_dir).select("entity", "blend"), "entity", "left")
-    return rows.join(t03(spark, sf_dir).select("entity", "cold"), "entity", "left").select("entity", "place", "kind", "position", "vor", "blend", "cold")
+    market = global_ordinal(board(spark, sf_dir).where("adp is not null").select("entity", "adp"), "market_rank", F.desc("adp"), F.col("entity"))
+    rows = rows.join(t03(spark, sf_dir).select("entity", "cold"), "entity", "left").join(market.select("entity", "market_rank"), "entity", "left")
+    return rows.select("entity", "place", "kind", "position", "vor", "blend", "cold", "market_rank", (F.col("market_rank") - F.col("place")).alias("value_vs_market"))
 
 
 @query("C07", f"SELECT * FROM {_with('W09')} JOIN {_with('W10')} USING (event_id, user_id) JOIN {_with('W11')} USING (event_id, user_id)")
@@ -182,17 +231,29 @@ def c07(spark, sf_dir):
     return w09(spark, sf_dir).join(w10(spark, sf_dir), keys).join(w11(spark, sf_dir), keys)
 
 
-@query("C08", f"""WITH u AS (SELECT DISTINCT user_id FROM events), a AS (SELECT e.user_id, min_by(event_type, list_position({list(SEVERITY)}, event_type)) AS status, count(*) AS n, max(ts) AS newest
- FROM {_with('U10')} s JOIN events e USING (event_id) WHERE event_type IN {SEVERITY} GROUP BY 1)
-SELECT user_id, coalesce(status, 'unknown') AS status, coalesce(n, 0) AS n_reports, newest FROM u LEFT JOIN a USING (user_id)""")
+KNOWN = ("signup", "view", "click", "purchase", "error")
+STAMP_LIMIT = "TIMESTAMP '2024-02-01'"
+
+
+@query("C08", f"""WITH e AS (SELECT * FROM events WHERE event_type IN {KNOWN} AND regexp_matches(user_id::VARCHAR, '^[1-9][0-9]*$') AND ts <= {STAMP_LIMIT}), u AS (SELECT DISTINCT user_id FROM e),
+a AS (SELECT e.user_id, min_by(event_type, list_position({list(SEVERITY)}, event_type)) AS status, count(*) AS n, max(ts) AS newest FROM {_with('U10')} s JOIN e USING (event_id) WHERE event_type IN {SEVERITY} GROUP BY 1),
+r AS (SELECT user_id, count(*) AS refused FROM events WHERE event_id NOT IN (SELECT event_id FROM e) GROUP BY 1)
+SELECT user_id, coalesce(status, 'unknown') AS status, coalesce(n, 0) AS n_reports, newest, coalesce(refused, 0) AS refused FROM u LEFT JOIN a USING (user_id) LEFT JOIN r USING (user_id)""")
 def c08(spark, sf_dir):
-    """Availability: the most restrictive known state of the newest accepted snapshot; users without one are unknown."""
-    events = table(spark, sf_dir, "events")
+    """Availability: the most restrictive known state of the newest accepted snapshot; users without one are unknown.
+
+    Reports with an unknown label, an unreadable id or a stamp later than the fetch are refused first, and counted.
+    """
+    rules = {"label": F.col("event_type").isin(*KNOWN), "id": F.col("user_id").cast("string").rlike("^[1-9][0-9]*$"), "stamp": F.col("ts") <= F.expr(STAMP_LIMIT)}
+    marked = table(spark, sf_dir, "events").withColumn("broken", failed_rules(rules))
+    events = marked.where(F.size("broken") == 0)
+    refused = marked.where(F.size("broken") > 0).groupBy("user_id").agg(F.count("*").alias("refused"))
     accepted = u10(spark, sf_dir).select("event_id").join(events, "event_id").where(F.col("event_type").isin(*SEVERITY))
     place = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("event_type"))
     found = accepted.groupBy("user_id").agg(F.min_by("event_type", place).alias("status"), F.count("*").alias("n"), F.max("ts").alias("newest"))
-    rows = events.select("user_id").distinct().join(found, "user_id", "left")
-    return rows.select("user_id", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("n", F.lit(0)).alias("n_reports"), "newest")
+    rows = events.select("user_id").distinct().join(found, "user_id", "left").join(refused, "user_id", "left")
+    zero = F.lit(0)
+    return rows.select("user_id", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("n", zero).alias("n_reports"), "newest", F.coalesce("refused", zero).alias("refused"))
 
 
 @query("C09", f"""WITH {FACT}, s AS (SELECT entity, max(grp) AS grp, avg(qty) AS rate, coalesce(var_samp(qty), 0) AS var, least(count(DISTINCT period) / {NEXT[1] - 1}, 1) AS p FROM fact WHERE season = {NEXT[0]} AND period < {NEXT[1]} AND qty IS NOT NULL GROUP BY 1),
@@ -219,27 +280,55 @@ def c10(spark, sf_dir):
     return m16(spark, sf_dir).join(t09(spark, sf_dir), "position").join(t10(spark, sf_dir), "position")
 
 
-@query("C11", """WITH v AS (SELECT * FROM events WHERE event_type <> 'error' AND value > 1), f AS (SELECT user_id, count(*) AS n, max(ts) AS newest FROM v GROUP BY 1),
-g AS (SELECT (SELECT count(*) FROM f) >= 0.5 * (SELECT count(DISTINCT user_id) FROM events) AS ok)
+#: Kinds of reports that a refresh must have features of, and users whose rows another approved run serves.
+REQUIRED, SERVED_USERS = ("signup", "view", "click", "purchase"), 5
+
+
+@query("C11", f"""WITH v AS (SELECT * FROM events WHERE event_type <> 'error' AND value > 1), f AS (SELECT user_id, count(*) AS n, max(ts) AS newest, avg(value) AS mean_value FROM v GROUP BY 1),
+gone AS (SELECT unnest({list(REQUIRED)}) AS event_type EXCEPT SELECT event_type FROM v), g AS (SELECT (SELECT count(*) FROM f) >= 0.5 * (SELECT count(DISTINCT user_id) FROM events) AND (SELECT count(*) FROM gone) = 0 AS ok),
+served AS (SELECT DISTINCT user_id FROM events WHERE user_id % {SERVED_USERS} = 0), new AS (SELECT user_id FROM f WHERE user_id NOT IN (SELECT user_id FROM served))
 SELECT 'loaded' AS step, count(*) AS n FROM events UNION ALL SELECT 'valid', count(*) FROM v UNION ALL SELECT 'rejected', (SELECT count(*) FROM events) - count(*) FROM v
-UNION ALL SELECT 'features', count(*) FROM f UNION ALL SELECT 'promoted', CASE WHEN ok THEN (SELECT count(*) FROM f) ELSE 0 END FROM g""")
+UNION ALL SELECT 'features', count(*) FROM f UNION ALL SELECT 'skipped', count(*) - (SELECT count(*) FROM new) FROM f UNION ALL SELECT 'promoted', CASE WHEN ok THEN (SELECT count(*) FROM new) ELSE 0 END FROM g
+UNION ALL SELECT 'served', (SELECT count(*) FROM served) + CASE WHEN ok THEN (SELECT count(*) FROM new) ELSE 0 END FROM g""")
 def c11(spark, sf_dir):
-    """The weekly refresh as one batch: ingest, validate, build features, gate on coverage, promote; a row per step.
+    """The weekly refresh as one batch: consume once, validate, build features, upsert what is free, gate, promote; a row per step.
 
-    Each step writes its table, so that a later failure repeats none; a closed gate leaves the served table as it was.
+    Staged files are consumed by a checkpointed stream, so a run that is repeated loads nothing twice. Rows that another
+    approved run serves are left alone. Features wait under a pending run; if every required kind has rows and half of the
+    users are covered, one commit makes them the approved run's, else the served rows stay as they were.
     """
     w = Workspace(spark, "refresh")
-    loaded = table(spark, sf_dir, "events")
-    valid, rejected = quarantine(loaded, {"type": F.col("event_type") != "error", "value": F.col("value") > 1}, "events")
-    valid, rejected = w.save(valid, "valid"), w.save(rejected, "rejected")
-    features = w.save(valid.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("newest")), "features-pending")
-    users = loaded.select("user_id").distinct().count()
-    served = w.save(features if features.count() >= 0.5 * users else features.limit(0), "features-served")
+    staged = w.save(table(spark, sf_dir, "events"), "staged")
+    rules = {"type": F.col("event_type") != "error", "value": F.col("value") > 1}
+
+    def ingest(batch, number):
+        valid, rejected = quarantine(batch.persist(), rules, "events")
+        valid.write.mode("overwrite").parquet(f"{w.path}/valid/batch={number}")
+        rejected.write.mode("overwrite").parquet(f"{w.path}/rejected/batch={number}")
+        batch.unpersist()
+
+    for _ in range(2):  # the second run finds nothing new
+        run_batches(spark.readStream.schema(staged.schema).parquet(f"{w.path}/staged"), w, "ingest", ingest)
+    valid, rejected = (spark.read.parquet(f"{w.path}/{kind}") for kind in ("valid", "rejected"))
+    features = valid.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("newest"), F.avg("value").alias("mean_value"))
+    features = w.save(features.withColumn("run", F.lit("pending")), "features")
+    users = staged.select("user_id").distinct()
+    held = VersionedTable(spark, f"{w.path}/served", features.schema, "run")
+    held.append(users.where(F.col("user_id") % SERVED_USERS == 0).join(features.limit(0).drop("run"), "user_id", "left").withColumn("run", F.lit("approved")))
+    merged, skipped = protected_upsert(held.read(), features, ["user_id"], F.col("run") == "approved")
+    skipped = w.save(skipped, "skipped")
+    held.replace(["pending"], merged.where("run = 'pending'"))
+    need = spark.createDataFrame([(k,) for k in REQUIRED], "event_type string")
+    covered = need.join(valid, "event_type", "left_anti").isEmpty() and features.count() >= 0.5 * users.count()
+    pending = held.read(values=["pending"]).count()
+    if covered:
+        promote_run(held, "run", "pending", "approved")
     count = lambda name, df: df.agg(F.lit(name).alias("step"), F.count("*").alias("n"))
-    out = count("loaded", loaded)
-    for name, df in (("valid", valid), ("rejected", rejected), ("features", features), ("promoted", served)):
+    out = count("loaded", staged).unionByName(skipped.select(F.lit("skipped").alias("step"), F.col("skipped").alias("n")))
+    for name, df in (("valid", valid), ("rejected", rejected), ("features", features), ("served", held.read(values=["approved"]))):
         out = out.unionByName(count(name, df))
-    return out
+    promoted = spark.createDataFrame([("promoted", pending if covered else 0)], "step string, n long")
+    return out.unionByName(promoted)
 
 
 @query("C12", f"""WITH e AS (WITH {FACT} SELECT entity, season, max(grp) AS grp, avg(qty) AS actual, count(qty) AS n FROM fact GROUP BY ALL), g AS (SELECT a.season AS eval_season, a.entity, a.grp, a.actual, a.n,

@@ -107,11 +107,21 @@ def s09(spark, sf_dir):
     return spark.read.schema(staged.schema).parquet(f"{w.path}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def _versioned(spark, rows):
+    """The rows as a versioned table by season."""
+    held = T.VersionedTable(spark, T.Workspace(spark, "versioned").path, rows.schema, "season")
+    held.append(rows)
+    return held
+
+
 @query("S10", f"WITH {MONTHS} SELECT entity, season, period, CASE WHEN entity % 2 = 0 THEN qty + 1 ELSE qty END AS qty FROM months UNION ALL SELECT -1, 2002, 1, 5.0")
 def s10(spark, sf_dir):
+    """Last write wins; only the seasons that an update touches are rewritten."""
     rows = _month(spark, sf_dir).select(*KEYS, "qty")
+    held = _versioned(spark, rows)
     new = spark.createDataFrame([(-1, 2002, 1, 5.0)], rows.schema)
-    return T.upsert(rows, rows.where("entity % 2 = 0").withColumn("qty", F.col("qty") + 1).unionByName(new), KEYS)
+    held.change(rows.where("entity % 2 = 0").withColumn("qty", F.col("qty") + 1).unionByName(new), lambda old, new: T.upsert(old, new, KEYS))
+    return held.read()
 
 
 @query("S11", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT o_custkey, 'stub' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
@@ -123,9 +133,11 @@ def s11(spark, sf_dir):
 
 @query("S12", f"WITH {MONTHS} SELECT entity, season, period, coalesce({HALF}, qty) AS qty, lines FROM months")
 def s12(spark, sf_dir):
-    rows = _month(spark, sf_dir)
-    new = rows.select(*KEYS, F.when(F.col("entity") % 2 == 0, F.col("qty") + 1).alias("qty"))
-    return T.coalesce_update(rows, new, KEYS, ["qty"])
+    """New values where they are not null, season by season in one commit."""
+    held = _versioned(spark, _month(spark, sf_dir))
+    new = held.read().select(*KEYS, F.when(F.col("entity") % 2 == 0, F.col("qty") + 1).alias("qty"))
+    held.change(new, lambda old, new: T.coalesce_update(old, new, KEYS, ["qty"]))
+    return held.read()
 
 
 @query("S13", """WITH t AS (SELECT user_id, max(ts) AS stamp, max_by(event_id, ts) AS rank FROM events WHERE event_type = 'view' GROUP BY 1), u AS (SELECT user_id, max(ts) AS ns, max_by(event_id, ts) AS nr FROM events WHERE event_type = 'click' GROUP BY 1),
@@ -141,36 +153,40 @@ def s13(spark, sf_dir):
 @query("S14", "SELECT DISTINCT user_id, ts AS captured_at FROM events")
 def s14(spark, sf_dir):
     """Snapshots appended twice: the second time nothing is new."""
-    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("captured_at"))
-    keys = ["user_id", "captured_at"]
-    first = T.insert_absent(rows.limit(0), rows.distinct(), keys)
-    return T.insert_absent(first, rows.where("user_id % 2 = 0").distinct(), keys)
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("captured_at"), F.to_date("ts").alias("day"))
+    held = T.VersionedTable(spark, T.Workspace(spark, "snapshots").path, rows.schema, "day")
+    for part in (rows, rows.where("user_id % 2 = 0")):
+        held.append(part.distinct().join(held.read(), ["user_id", "captured_at"], "left_anti"))
+    return held.read().select("user_id", "captured_at")
 
 
 @query("S15", f"WITH {MONTHS} SELECT entity, season, period, coalesce({HALF}, qty) AS qty, lines FROM months")
 def s15(spark, sf_dir):
     """Existing rows only: updates without a target row are left out."""
-    rows = _month(spark, sf_dir)
-    new = rows.select(*KEYS, F.when(F.col("entity") % 2 == 0, F.col("qty") + 1).alias("qty"))
+    held = _versioned(spark, _month(spark, sf_dir))
+    new = held.read().select(*KEYS, F.when(F.col("entity") % 2 == 0, F.col("qty") + 1).alias("qty"))
     stray = spark.createDataFrame([(-1, 2002, 1, 5.0)], new.schema)
-    return T.coalesce_update(rows, new.unionByName(stray), KEYS, ["qty"], insert=False)
+    held.change(new.unionByName(stray), lambda old, new: T.coalesce_update(old, new, KEYS, ["qty"], insert=False))
+    return held.read()
 
 
 @query("S16", f"WITH {MONTHS} SELECT entity, season, period, CASE WHEN NOT coalesce(lines > 5, false) THEN qty + 1 ELSE qty END AS qty FROM months")
 def s16(spark, sf_dir):
     """Rows that another approved run serves are never changed."""
-    rows = _month(spark, sf_dir)
-    return T.protected_upsert(rows, rows.withColumn("qty", F.col("qty") + 1), KEYS, F.col("lines") > 5)[0].select(*KEYS, "qty")
+    held = _versioned(spark, _month(spark, sf_dir))
+    new = held.read().withColumn("qty", F.col("qty") + 1)
+    held.change(new, lambda old, new: T.protected_upsert(old, new, KEYS, F.col("lines") > 5)[0])
+    return held.read().select(*KEYS, "qty")
 
 
 @query("S17", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'approved' ELSE o_orderstatus END AS run, count(*) AS n FROM orders GROUP BY 1")
 def s17(spark, sf_dir):
-    """A run relabelled; the counts before and after must fit."""
-    rows = table(spark, sf_dir, "orders")
-    pending = rows.where("o_orderstatus = 'P'").count()
-    after = rows.withColumn("run", F.when(F.col("o_orderstatus") == "P", "approved").otherwise(F.col("o_orderstatus"))).groupBy("run").agg(F.count("*").alias("n"))
-    fits = (F.col("run") != "approved") | (F.col("n") == pending)
-    return after.withColumn("n", F.when(fits, F.col("n")).otherwise(F.raise_error(F.lit("the promotion is not complete"))))
+    """A run relabelled in one commit; the counts before and after must fit."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("run"))
+    held = T.VersionedTable(spark, T.Workspace(spark, "runs").path, rows.schema, "run")
+    held.append(rows)
+    T.promote_run(held, "run", "P", "approved")
+    return held.read().groupBy("run").agg(F.count("*").alias("n"))
 
 
 @query("S18", f"WITH {FACT} SELECT season, count(*) AS n, sum(qty) AS qty FROM fact GROUP BY season")

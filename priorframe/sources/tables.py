@@ -1,14 +1,11 @@
-"""Reading and writing tables: shared workspaces, upserts, retention, archives and prunes on Parquet.
-
-A rewrite goes to a new folder and the caller reads from there; there is no table format, so a swap is not atomic for
-readers of the old folder.
-"""
+"""Reading and writing tables: shared workspaces, versioned tables, upserts, retention, archives and prunes on Parquet."""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +34,105 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
 
+class VersionedTable:
+    """A Parquet table in folders by one column, whose live folders a version file names.
+
+    A commit writes the folders of the touched values first and the version file last; a file of that name is never
+    overwritten. So a reader sees the version before or the version after, never a mix; of two writers of one version one
+    is refused; and values that a commit does not touch keep their files. Old folders stay for the readers of old versions.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, by: str):
+        self.spark, self.path, self.schema, self.by = spark, path.rstrip("/"), schema, by
+        jvm = spark._jvm
+        self._of = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._of(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The newest version, 0 where there is none yet."""
+        folder = self._of(f"{self.path}/versions")
+        if not self._fs.exists(folder):
+            return 0
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return max([int(n.split(".")[0]) for n in names if n.endswith(".json") and not n.startswith((".", "_"))], default=0)
+
+    def folders(self, version: int | None = None) -> dict[str, list[str]]:
+        """The live folders of each value, which are few: a value's text to folders under the table's."""
+        version = self.version() if version is None else version
+        if version == 0:
+            return {}
+        at = f"{self.path}/versions/{version:012d}.json"
+        stream = self._fs.open(self._of(at))
+        try:
+            raw = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+        return json.loads(raw)
+
+    def read(self, version: int | None = None, values: Sequence[str] | None = None) -> DataFrame:
+        """The rows of a version (the newest), of some values only if asked for."""
+        live = self.folders(version)
+        paths = [f"{self.path}/{f}" for v, fs in sorted(live.items()) if values is None or v in set(values) for f in fs]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def values(self, rows: DataFrame) -> list[str]:
+        """The distinct values of the folder column in rows, as text; there are as many as folders."""
+        return sorted(r.v for r in rows.select(self._value().alias("v")).distinct().collect())
+
+    def _value(self) -> Column:
+        return F.coalesce(F.col(self.by).cast("string"), F.lit("__none"))
+
+    def _write(self, rows: DataFrame) -> dict[str, str]:
+        """Write rows to a new place; the folder of each value that has rows."""
+        place = f"data/{uuid.uuid4().hex}"
+        rows.select(*self.schema.names).withColumn("__by", self._value()).write.partitionBy("__by").parquet(f"{self.path}/{place}")
+        unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._of(f"{self.path}/{place}"))]
+        return {unescape(n.split("=", 1)[1]): f"{place}/{n}" for n in names if n.startswith("__by=")}
+
+    def _commit(self, base: int, live: dict[str, list[str]]) -> int:
+        version = base + 1
+        at = self._of(f"{self.path}/versions/{version:012d}.json")
+        # written aside and renamed, so that a version file is whole when it is there; rename refuses a name that is taken
+        aside = self._of(f"{self.path}/versions/_{uuid.uuid4().hex}")
+        stream = self._fs.create(aside, False)
+        try:
+            stream.write(bytearray(json.dumps(live, sort_keys=True).encode()))
+        finally:
+            stream.close()
+        if self._fs.exists(at) or not self._fs.rename(aside, at):
+            raise RuntimeError(f"version {version} of {self.path} was written by another")
+        return version
+
+    def append(self, rows: DataFrame, base: int | None = None) -> int:
+        """Add rows to a version (the newest) and commit; the new version's number."""
+        base = self.version() if base is None else base
+        live = self.folders(base)
+        for value, folder in self._write(rows).items():
+            live.setdefault(value, []).append(folder)
+        return self._commit(base, live)
+
+    def replace(self, values: Sequence[str], rows: DataFrame, base: int | None = None) -> int:
+        """Put rows in place of all rows of these values and commit; rows may have no other values."""
+        base = self.version() if base is None else base
+        live, new = self.folders(base), self._write(rows)
+        if set(new) - set(values):
+            raise ValueError(f"rows of values that are not replaced: {sorted(set(new) - set(values))}")
+        return self._commit(base, {**{v: fs for v, fs in live.items() if v not in set(values)}, **{v: [f] for v, f in new.items()}})
+
+    def change(self, updates: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        """Rewrite the values that occur in updates by ``how(target, updates)``; all others keep their files.
+
+        ``how`` must not move a row to another value.
+        """
+        base = self.version()
+        updates = Workspace(self.spark, "updates").save(updates, "rows")
+        touched = self.values(updates)
+        return self.replace(touched, how(self.read(base, touched), updates), base)
+
+
 def files_fingerprint(*frames: DataFrame) -> str:
     """A digest of the files that these tables are read from: names, sizes and times. It changes when a table is rewritten."""
     named = [df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for df in frames]
@@ -112,6 +208,18 @@ def protected_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str],
     return upsert(target, updates.join(served, list(keys), "left_anti"), keys), skipped
 
 
+def promote_run(held: VersionedTable, run: str, pending: str, approved: str) -> int:
+    """Relabel a run's rows in one commit of a table in folders by run; refused if rows of the run would be lost or doubled."""
+    base = held.version()
+    before = held.read(base, [pending, approved]).groupBy(run).agg(F.count("*").alias("n")).collect()  # two rows at most
+    rows = held.read(base, [pending, approved]).withColumn(run, F.lit(approved).cast(held.schema[run].dataType))
+    version = held.replace([pending, approved], rows, base)
+    n = held.read(version, [approved]).count()
+    if n != sum(r.n for r in before):
+        raise RuntimeError(f"the promotion of {pending} is not complete: {n} rows of {sum(r.n for r in before)}")
+    return version
+
+
 def keep_recent(df: DataFrame, stamp: str, now: Column, days: int, always: Column | None = None) -> DataFrame:
     """Rows younger than this many days, and those of sources that are always kept."""
     if days <= 0:
