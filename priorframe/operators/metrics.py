@@ -74,13 +74,16 @@ def calibration_table(df: DataFrame, probability: str, outcome: str, bins: int)
     return df.groupBy(bin_).agg(F.avg(probability).alias("mean_p"), F.avg(outcome).alias("observed"), F.count("*").alias("n"))
 
 
+# The cumulative distribution of Poisson(1).
+POISSON_ONE = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+
 def poisson_one_weight(cluster: Column, replicate: Column, seed: int) -> Column:
     """A Poisson(1) count from a hash of cluster, replicate and seed."""
-    u = F.pmod(F.xxhash64(cluster, replicate, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    # The cumulative distribution of Poisson(1).
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+    mark = F.md5(F.concat_ws("|", cluster.cast("string"), replicate.cast("string"), F.lit(str(seed))).cast("binary"))
+    u = F.conv(F.substring(mark, 1, 10), 16, 10).cast("long") / float(1 << 40)
     out = F.lit(0)
-    for cut in cuts:
+    for cut in POISSON_ONE:
         out = out + (u > cut).cast("int")
     return out
 

@@ -1,4 +1,4 @@
-"""Model-stage dataflow (L). Fits differ in their last digits between machines, so only L01, L03 and L06 have SQL."""
+"""Model-stage dataflow (L). Fits differ in their last digits between machines, so only those without one have SQL."""
 
 from __future__ import annotations
 
@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.scalar import normal_cdf
 from ..operators import learn as L
 from ..sources.tables import Workspace
-from .aggregate_queries import EDGE, edges, games
+from .aggregate_queries import EDGE, GAMES, edges, games
 from .facts import FACT, facts
+from .join_queries import ROUND
 from .registry import query
+from .scalar_queries import CDF_SQL
 
 INPUTS = ["pred", "naive", "share"]
 
@@ -79,7 +81,10 @@ def l06(spark, sf_dir):
     return edges(spark, sf_dir).select("game", prediction.alias("prediction"), degraded.alias("degraded"))
 
 
-@query("L07", None)
+@query("L07", f"""WITH {FACT}, {ROUND}, {GAMES}, m AS (SELECT season + 1 AS season, team, avg(s) AS mean FROM (SELECT season, home AS team, home_score AS s FROM games UNION ALL SELECT season, away, away_score FROM games) GROUP BY ALL),
+z AS (SELECT g.season, g.period, g.home, g.away, (h.mean - a.mean) / 4 AS z FROM games g JOIN m h ON h.season = g.season AND h.team = g.home JOIN m a ON a.season = g.season AND a.team = g.away),
+x AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x FROM z), t AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * x) AS t FROM x)
+SELECT season, period, home, away, round(CASE WHEN z >= 0 THEN {CDF_SQL} ELSE 1 - ({CDF_SQL}) END, 6) AS p_home FROM t""")
 def l07(spark, sf_dir):
     """Win probability of paired score predictions: the normal distribution of their difference."""
     rows = games(spark, sf_dir)

@@ -198,11 +198,18 @@ def m17(spark, sf_dir):
     return board(spark, sf_dir).where("realized is not null").groupBy("position").agg((F.sum("realized") / F.sum("projection")).alias("ratio"))
 
 
-@query("M18")
+WEIGHT_SQL = " + ".join(f"(u > {c!r}::DOUBLE)::INTEGER" for c in M.POISSON_ONE)
+
+
+@query("M18", f"""WITH {EDGE}, s AS (SELECT grp, entity, sum(abs(qty - naive) - abs(qty - pred)) AS s, count(*) AS n FROM edge WHERE {KEEP} GROUP BY ALL),
+w AS (SELECT grp, r, s, n, ('0x' || substr(md5(entity || '|' || r || '|11'), 1, 10))::BIGINT / 1099511627776::DOUBLE AS u FROM s, range(1, 201) t(r)),
+m AS (SELECT grp, r, sum(({WEIGHT_SQL}) * s) / nullif(sum(({WEIGHT_SQL}) * n), 0) AS m FROM w GROUP BY ALL), b AS (SELECT grp, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY grp)
+SELECT grp, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM b JOIN (SELECT grp, sum(s) / sum(n) AS mean FROM s GROUP BY grp) USING (grp)""")
 def m18(spark, sf_dir):
     """Mean advantage over the naive forecast per group with a cluster bootstrap over entities."""
     rows = _good(spark, sf_dir).withColumn("gain", F.abs(F.col("qty") - F.col("naive")) - F.abs(F.col("qty") - F.col("pred")))
-    return M.bootstrap_mean(rows, ["entity"], "gain", 200, 11, by=["grp"])
+    out = M.bootstrap_mean(rows, ["entity"], "gain", 200, 11, by=["grp"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
 
 
 @query("M19", f"""WITH {ODDS}, s AS (SELECT game, play, p, (over_odds > 0 AND under_odds > 0)::INTEGER AS hit, CASE WHEN over_odds > 0 THEN over_odds / 100 ELSE 100 / -over_odds END AS b, CASE WHEN over_odds < 0 THEN -over_odds / (-over_odds + 100) ELSE 100 / (over_odds + 100) END AS imp FROM odds),
@@ -294,7 +301,14 @@ def m28(spark, sf_dir):
     return pairs.select("a", "b", "n", F.round(weight * F.col("rho") + (1 - weight) * 0.1, 6).alias("blended"))
 
 
-@query("M29")
+def _score_sql(c: str) -> str:
+    """SQL of the normal score of a column's average rank in its group."""
+    return f"(rank() OVER (PARTITION BY grp ORDER BY {c}) + (count(*) OVER (PARTITION BY grp, {c}) - 1) / 2.0::DOUBLE) / (count(*) OVER (PARTITION BY grp) + 1) AS {c}"
+
+
+@query("M29", f"""WITH {EDGE}, p AS (SELECT grp, {", ".join(map(_score_sql, ("qty", "pred", "naive")))} FROM edge WHERE {KEEP}),
+z AS (SELECT grp, {", ".join(f"{S.quantile_sql(c)} AS {c}" for c in ("qty", "pred", "naive"))} FROM p)
+SELECT grp, {", ".join(f"round(0.95 * corr({a}, {b}), 6) AS {a}_{b}" for a, b in (("qty", "pred"), ("qty", "naive"), ("pred", "naive")))} FROM z GROUP BY grp""")
 def m29(spark, sf_dir):
     """Normal scores of ranks and their correlations, shrunk to the identity."""
     rows = _good(spark, sf_dir).select("game", "grp", "qty", "pred", "naive")
@@ -302,7 +316,7 @@ def m29(spark, sf_dir):
         rows = average_ranks(rows, ("grp",), c, f"{c}_rank", total=f"{c}_n")
     scored = rows.select("grp", *(S.normal_quantile(F.col(f"{c}_rank") / (F.col(f"{c}_n") + 1)).alias(c) for c in ("qty", "pred", "naive")))
     pairs = (("qty", "pred"), ("qty", "naive"), ("pred", "naive"))
-    return scored.groupBy("grp").agg(*((0.95 * F.corr(a, b)).alias(f"{a}_{b}") for a, b in pairs))
+    return scored.groupBy("grp").agg(*(F.round(0.95 * F.corr(a, b), 6).alias(f"{a}_{b}") for a, b in pairs))
 
 
 @query("M30")

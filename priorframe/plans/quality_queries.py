@@ -163,7 +163,24 @@ def v18(spark, sf_dir):
     return a.unionByName(b)
 
 
-@query("V19")
+def hash_sql(columns: dict[str, str]) -> str:
+    """SQL of :func:`row_hash` for columns (expressions by name), doubles already as whole numbers."""
+    texts = ", ".join(f"coalesce(({e})::VARCHAR, '\\N')" for _, e in sorted(columns.items()))
+    return f"('0x' || substr(md5(concat_ws('|', {texts})), 1, 15))::BIGINT"
+
+
+def mark_sql(name: str, source: str, columns: dict[str, str]) -> str:
+    """SQL of :func:`fingerprint`."""
+    return f"""SELECT '{name}' AS "table", count(*) AS n, coalesce(bit_xor(h), 0) AS "xor", coalesce(sum(h % 2147483648), 0)::BIGINT AS checksum FROM (SELECT {hash_sql(columns)} AS h FROM {source})"""
+
+
+ORDER_COLUMNS = {c: c for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")} | {"o_totalprice": "round(o_totalprice * 1000000)::BIGINT"}
+CHANGED = {**ORDER_COLUMNS, "o_custkey": "CASE WHEN o_orderkey = 1 THEN -1 ELSE o_custkey END"}
+FACT_COLUMNS = {c: c for c in ("entity", "season", "period", "game", "grp", "team", "cents", "returned", "lines")} | {"qty": "round(qty * 1000000)::BIGINT"}
+FACT_TYPES = "entity:bigint,season:bigint,period:bigint,game:bigint,grp:string,team:bigint,qty:double,cents:bigint,returned:bigint,lines:bigint"
+
+
+@query("V19", " UNION ALL ".join([mark_sql("orders", "orders", ORDER_COLUMNS), mark_sql("dealt", "orders", ORDER_COLUMNS), mark_sql("changed", "orders", CHANGED)]))
 def v19(spark, sf_dir):
     """Fingerprints of a table and of the same rows in another order agree; a changed table's does not."""
     rows = table(spark, sf_dir, "orders")
@@ -180,13 +197,14 @@ def v20(spark, sf_dir):
     return found.select("season", "column", F.round("left_mean", 6).alias("left_mean"), F.round("right_mean", 6).alias("right_mean"))
 
 
-@query("V21")
+@query("V21", f"""WITH {FACT}, m AS ({mark_sql("fact", "fact", FACT_COLUMNS)}) SELECT count(*) AS n, avg((qty IS NULL)::INTEGER) AS null_qty, avg(qty) AS mean_qty, round(stddev_samp(qty), 6) AS std_qty,
+ any_value(sha256(concat_ws('|', m.n, m."xor", m.checksum))) AS data_hash, sha256('{FACT_TYPES}') AS schema_hash FROM fact, m""")
 def v21(spark, sf_dir):
     """A training table's profile: schema and data hashes that do not depend on order, null rates, target summary."""
     rows = facts(spark, sf_dir)
     schema = F.sha2(F.lit(",".join(f"{c}:{t}" for c, t in rows.dtypes)), 256)
     mark = Q.fingerprint(rows, "fact").select(F.sha2(F.concat_ws("|", "n", "xor", "checksum"), 256).alias("data_hash"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.col("qty").isNull().cast("int")).alias("null_qty"), F.avg("qty").alias("mean_qty"), F.stddev_samp("qty").alias("std_qty"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg(F.col("qty").isNull().cast("int")).alias("null_qty"), F.avg("qty").alias("mean_qty"), F.round(F.stddev_samp("qty"), 6).alias("std_qty"))
     return stats.crossJoin(mark).withColumn("schema_hash", schema)
 
 

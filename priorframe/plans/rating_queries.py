@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import QUANTILE_TERMS, expected_score
+from ..functions.scalar import expected_score, quantile_sql
 from ..operators.rank import ordinal
 from ..operators.rating import RatingRules, fresh_state, implied_line, play_round, rate, sides
 from ..operators.temporal import asof_join
@@ -38,21 +38,6 @@ MEETINGS = f"""{RATINGS}, met AS (SELECT g.*, h.o AS home_off, h.d AS home_def,
  FROM games g JOIN rounds r USING (season, period) JOIN st h ON h.team = g.home AND h.no = r.no - 1 JOIN st a ON a.team = g.away AND a.no = r.no - 1)"""
 
 
-def _horner(x: str, terms: tuple[float, ...]) -> str:
-    out = f"{terms[0]!r}::DOUBLE"
-    for term in terms[1:]:
-        out = f"({out}) * {x} + {term!r}::DOUBLE"
-    return f"({out})"
-
-
-def quantile_sql(p: str) -> str:
-    """SQL of :func:`normal_quantile` for a probability expression."""
-    a, b, c, d = QUANTILE_TERMS
-    tail = lambda q: f"{_horner(f'sqrt(-2 * ln({q}))', c)} / {_horner(f'sqrt(-2 * ln({q}))', (*d, 1.0))}"
-    r = f"(({p} - 0.5) * ({p} - 0.5))"
-    return f"CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} <= 0.97575 THEN ({p} - 0.5) * {_horner(r, a)} / {_horner(r, (*b, 1.0))} ELSE -({tail(f'(1 - {p})')}) END"
-
-
 def history(spark, sf_dir):
     """Ratings after each round; written once for each session and version of the tables' files."""
     mark = files_fingerprint(*(table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem")))

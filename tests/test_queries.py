@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from priorframe.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings labels".split()
-SAMPLE = ["W01", "W03", "W10", "W12", "W16", "W20", "J03", "J05", "J07", "J08", "J15", "J19", "U10", "U12", "A11", "A12", "A18", "A23", "F04", "F17", "T04", "T08", "M09", "M11", "M13", "M14", "V01", "V06", "S10", "S18", "X05", "X06", "X08", "L01", "L03", "F06", "C01", "C02", "C03", "C05", "C08", "C09", "C11", "C12"]
+SAMPLE = ["W01", "W03", "W10", "W12", "W16", "W20", "J03", "J05", "J07", "J08", "J15", "J19", "U10", "U12", "A11", "A12", "A18", "A23", "F04", "F17", "T04", "T08", "M09", "M11", "M13", "M14", "V01", "V06", "S10", "S18", "X05", "X06", "X08", "L01", "L03", "F06", "C01", "C02", "C03", "C05", "C08", "C09", "C11", "C12", "R01", "R05", "R06", "X02", "X03", "X07", "W21", "W22", "M08", "M12", "M18", "M29", "L07", "V19", "V21", "V22", "S12", "S14", "S16", "S17", "C04", "C06", "T03", "T07"]
 
 
 @pytest.fixture(scope="module")
