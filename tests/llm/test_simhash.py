@@ -75,3 +75,10 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     out = connected_components(Scratch(spark, "path"), edges).collect()
     assert {r.comp for r in out} == {0} and len(out) == 61
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{(k * 7919) % 4001}" for k in range(120_000))
+    df = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "short text of five words")], "doc_id long, text string")
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in S.near_duplicates(df).collect()}
+    assert got[1] == (brute_print(long), 1) and got[2][1] == 1 and got[3][1] == 3
