@@ -102,7 +102,7 @@ class BytePairCodec:
         self.blob = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self.byte_sizes = np.array([len(t) for t in self.token_bytes], np.int64)
         self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
-        self.pairs: dict[int, bool] = {}
+        self.pairs, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self._plant()
         self._forget()
 
@@ -265,20 +265,33 @@ class BytePairCodec:
         return pool[ragged(at, sizes)], sizes
 
     def fitting(self, keys: np.ndarray) -> np.ndarray:
-        """Whether each pair of tokens (or token alone, as -1 - token) is its own exact encoding."""
-        named = keys.tolist()
-        unknown = [k for k in named if k not in self.pairs]
-        if len(self.pairs) + len(unknown) > 2 * CACHED_WORDS:
-            self.pairs = dict(list(self.pairs.items())[-CACHED_WORDS:])
-            unknown = [k for k in named if k not in self.pairs]
+        """Whether each pair of tokens (or token alone, as -1 - token) is its own exact encoding; keys are distinct and sorted.
+
+        Tested pairs are kept as sorted arrays, at nine bytes each, until they are too many.
+        """
+        at = np.searchsorted(self.pairs, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.pairs)
+        known[inside] = self.pairs[at[inside]] == keys[inside]
+        fits = np.empty(len(keys), bool)
+        fits[known], unknown = self.pair_fits[at[known]], keys[~known]
+        if not len(unknown):
+            return fits
+        alone = unknown < 0
+        left, right = np.where(alone, -1 - unknown, unknown >> 32), unknown & 0xFFFFFFFF
         of = self.token_bytes
-        tokens = [(-1 - k,) if k < 0 else (k >> 32, k & 0xFFFFFFFF) for k in unknown]
-        flat, sizes = self.merge_many([b"".join(of[t] for t in pair) for pair in tokens])
-        starts = (np.cumsum(sizes) - sizes).tolist()
-        flat, sizes = flat.tolist(), sizes.tolist()
-        for k, pair, start, n in zip(unknown, tokens, starts, sizes):
-            self.pairs[k] = n == len(pair) and tuple(flat[start : start + n]) == pair
-        return np.fromiter((self.pairs[k] for k in named), bool, len(named))
+        words = [of[a] if single else of[a] + of[b] for a, b, single in zip(left.tolist(), right.tolist(), alone.tolist())]
+        flat, sizes = self.merge_many(words)
+        first = np.cumsum(sizes) - sizes
+        second = np.minimum(first + 1, len(flat) - 1)
+        fresh = (flat[first] == left) & np.where(alone, sizes == 1, (sizes == 2) & (flat[second] == right))
+        fits[~known] = fresh
+        if len(self.pairs) + len(unknown) > 2 * CACHED_WORDS:
+            self.pairs, self.pair_fits = keys, fits
+        else:
+            places = at[~known]
+            self.pairs, self.pair_fits = np.insert(self.pairs, places, unknown), np.insert(self.pair_fits, places, fresh)
+        return fits
 
     def _pieces(self, text: str) -> list[str | int]:
         if not self.special or not any(t in text for t in self.special):
@@ -437,6 +450,7 @@ def with_tokens(
                 extra = [pa.array(list(c.decode_group(ids, offsets)), pa.binary()).cast(pa.string())] if decoded_col else []
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(np.diff(offsets)), *extra], names=fields)
                 at += len(group)
+            pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -41,6 +42,24 @@ def test_only_failing_words_are_merged():
     assert len(codec.pairs) < 40
 
 
+def test_tested_pairs_take_few_bytes():
+    """Both caches of a worker stay small beside an executor: tested pairs take nine bytes each, and are found again."""
+    codec = bpe.BytePairCodec(PATH)
+    rng = np.random.default_rng(3)
+    left, right = rng.choice(codec.single, 60_000), rng.integers(300, 50_000, 60_000)
+    keys = np.unique(np.concatenate((left << 32 | right, -1 - right)))
+    tracemalloc.start()
+    codec.fitting(keys[::2])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 20 * len(keys[::2])
+    fits = codec.fitting(keys)
+    assert len(codec.pairs) == len(keys) and (codec.fitting(keys) == fits).all() and 0 < fits.sum() < len(fits)
+    for k in rng.choice(len(keys), 500).tolist():
+        pair = [-1 - keys[k]] if keys[k] < 0 else [keys[k] >> 32, keys[k] & 0xFFFFFFFF]
+        assert fits[k] == (codec.merge(b"".join(codec.token_bytes[t] for t in pair)) == pair)
+
+
 def test_round_trip_rows(spark, library):
     rows = [(1, "The cat\n sat", "x"), (2, None, "y"), (3, "", None), (1, "The cat\n sat", "x"), (None, "ab<|endoftext|>c", "z")]
     out = bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), PATH).collect()
