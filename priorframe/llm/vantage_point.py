@@ -1,8 +1,9 @@
 """Nearest neighbours with a vantage-point tree per shard.
 
 Rows are dealt to shards of about ``shard_rows`` by a hash of their id. A shard's tree splits its rows at the median
-distance from a vantage point down to leaves of ``leaf`` rows. Stated queries are dealt in blocks of ``block`` and
-every block meets every shard, so a task holds one shard and one block. A subtree is skipped if the triangle inequality
+distance from a vantage point down to leaves of ``leaf`` rows. Rows and a copy of the stated queries for every shard are
+one shuffle without a join: a shard's task builds its tree once and answers the queries in blocks of ``block`` as they
+come, so it holds one shard and one batch of queries. A subtree is skipped if the triangle inequality
 shows that it lies further away than the k-th best so far: |d(q, v) - median| * factor > worst. Factor one is exact
 search; larger factors skip more.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -125,35 +126,41 @@ def nearest(
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vptree")
     rows = scratch.save(usable(vectors, id_col, vector_col), "rows")
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    n_shards, n_blocks = max(1, -(-sizes.n // shard_rows)), max(1, -(-sizes.q // block))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-
-    def pack(df: DataFrame, key: str) -> DataFrame:
-        # groups hold about shard_rows or block rows by construction
-        listed = df.groupBy(key, F.size("v").alias("dim")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("m"))
-        return listed.select(key, "dim", F.col("m.vec_id").alias(f"{key}_ids"), F.flatten("m.v").alias(f"{key}_rows"))
-
-    shards = scratch.save(pack(rows.withColumn("shard", deal(n_shards, "shard")), "shard"), "shards")
-    queries = pack(rows.where(F.col("vec_id") % every == 0).withColumn("block", deal(n_blocks, "block")), "block")
-    queries = scratch.save(queries, "queries")
-    # each block is replicated to every shard: the stated queries against all rows, in blocks
-    copies = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    pairs = copies.join(shards, ["shard", "dim"]).repartition(max(8, min(n_shards * n_blocks, 100_000)), "shard", "block", "dim")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees: dict[tuple[int, int], VantagePointTree] = {}
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                if (r.shard, r.dim) not in trees:
-                    trees.clear()
-                    trees[r.shard, r.dim] = VantagePointTree(np.array(r.shard_ids), np.array(r.shard_rows).reshape(-1, r.dim))
-                names, tree = np.array(r.block_ids), trees[r.shard, r.dim]
-                best, found = tree.search(names, np.array(r.block_rows).reshape(-1, r.dim), k, factor)
-                real = np.isfinite(best)
-                yield pd.DataFrame({"query_id": np.repeat(names, real.sum(1)), "vec_id": tree.ids[found[real]], "score": best[real]})
-
-    hits = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
+    n_shards = max(1, -(-rows.count() // shard_rows))
+    deal = F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(n_shards)).cast("int")
+    held = rows.select(deal.alias("shard"), F.size("v").alias("dim"), F.lit(0).alias("kind"), "vec_id", "v")
+    # each query is replicated to every shard: the stated queries against all rows. A join would send the copies to the driver,
+    # as the planner does not see that they are many
+    copies = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
+    asked = rows.where(F.col("vec_id") % every == 0).select(copies.alias("shard"), F.size("v").alias("dim"), F.lit(1).alias("kind"), "vec_id", "v")
+    dealt = held.unionByName(asked).repartition(max(8, n_shards), "shard").sortWithinPartitions("shard", "dim", "kind", "vec_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, tree = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for start, end in zip([0, *ends], ends):
+                if end == start:
+                    continue
+                shard, dim, kind = keys[start].tolist()
+                if (shard, dim) != key:
+                    key, parts, tree = (shard, dim), [], None
+                ids = batch.column(3).slice(start, end - start).to_numpy()
+                v = batch.column(4).slice(start, end - start).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                if kind == 0:
+                    parts.append((ids, v))
+                    continue
+                if tree is None and parts:
+                    tree, parts = VantagePointTree(*(np.concatenate(p) for p in zip(*parts))), []
+                for at in range(0, len(ids) if tree is not None else 0, block):
+                    names = ids[at : at + block]
+                    best, found = tree.search(names, v[at : at + block], k, factor)
+                    real = np.isfinite(best)
+                    columns = np.repeat(names, real.sum(1)), tree.ids[found[real]], best[real]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+    hits = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

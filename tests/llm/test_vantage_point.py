@@ -68,3 +68,12 @@ def test_a_large_group_of_copies(spark):
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
     plain = [(i, tuple(np.float32(x).item() for x in v)) for i, v in rows]
     check(V.nearest(df, 100, shard_rows=300).collect(), brute(plain, 100, 10))
+
+
+def test_copies_of_the_queries_are_not_sent_to_the_driver(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(3000)]
+    got = V.nearest(spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA), 10, shard_rows=50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    check(got.collect(), brute([(i, tuple(np.float32(x).item() for x in v)) for i, v in rows], 10, 10))
