@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ..operators.quality import quarantine
@@ -20,9 +22,9 @@ SLICE_ROWS = 1_000_000
 def queue_slices(workspace, rows, order, least=4, slice_rows=SLICE_ROWS):
     """Append rows as files of about ``slice_rows``, in order of time and one after the other.
 
-    The file source takes files by their time of writing, so files that tasks write side by side come in any order. Rows
-    are staged once in a folder for each slice, so that an append reads its own slice only. Rows of one time are in one
-    slice; the number of slices grows with the table.
+    The file source takes files by their time of writing, so files that tasks write side by side come in any order. All
+    slices are written by one job, a file each, and moved into the queue one after the other with rising names and times of
+    writing. Rows of one time are in one slice; the number of slices grows with the table.
     """
     at = F.unix_micros(F.col(order))
     n = rows.count()
@@ -33,9 +35,22 @@ def queue_slices(workspace, rows, order, least=4, slice_rows=SLICE_ROWS):
     dealt = rows.withColumn("__slice", number)
     staged = dealt.repartition(slices, "__slice").sortWithinPartitions("__slice", order)
     staged.write.partitionBy("__slice").parquet(f"{workspace.path}/staged")
-    for k in range(len(cuts) + 1):
-        part = workspace.spark.read.schema(dealt.schema).parquet(f"{workspace.path}/staged").where(F.col("__slice") == k).drop("__slice")
-        part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(f"{workspace.path}/events")
+    if not n:  # an empty file, so that the stream has a batch
+        dealt.drop("__slice").coalesce(1).write.parquet(f"{workspace.path}/events")
+        return rows.schema
+    spark = workspace.spark
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(workspace.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = lambda k: of(f"{workspace.path}/staged/__slice={k}")
+    files = [sorted((f.getPath() for f in fs.listStatus(folder(k))), key=lambda f: f.getName()) for k in range(len(cuts) + 1) if fs.exists(folder(k))]
+    files = [f for part in files for f in part if f.getName().endswith(".parquet")]
+    fs.mkdirs(of(f"{workspace.path}/events"))
+    now = int(time.time())
+    for k, f in enumerate(files):
+        to = of(f"{workspace.path}/events/slice-{k:09d}.parquet")
+        if not fs.rename(f, to):
+            raise OSError(f"{f} was not moved to {to}")
+        fs.setTimes(to, (now - len(files) + k) * 1000, -1)
     return rows.schema
 
 

@@ -55,3 +55,33 @@ def test_state_setting_is_put_back(spark):
     with keyed_state(spark):
         assert spark.conf.get(PROVIDER) != before
     assert spark.conf.get(PROVIDER) == before
+
+
+def test_keys_share_calls_and_state_requests(spark):
+    """A batch asks once for each bucket's state, however many keys it has, and gives the plain results across batches."""
+    from priorframe.streaming import stateful as X
+
+    rows = [(k % 400 if k % 401 else None, k, 1_700_000_000 + k // 3, float(k % 17)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "entity long, event_id long, second long, value double")
+    df = df.select("entity", "event_id", F.timestamp_seconds("second").alias("ts"), "value")
+    w = Workspace(spark, "levels")
+    schema = S.queue_slices(w, df, "ts")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{w.path}/events")
+    leveled = X.filter_levels(stream, 50.0, 1.0, 100.0, 1000.0, buckets=3)
+    assert "bucket" in leveled._jdf.queryExecution().analyzed().toString()
+    got = {r.event_id: (r.entity, r.mean, r.variance) for r in X.run_to_end(leveled, w, "out").collect()}
+    levels, want = {}, {}
+    for entity, event_id, _, value in rows:
+        mean, var = levels.get(entity, (50.0, 1000.0))
+        gain = (var + 1.0) / (var + 1.0 + 100.0)
+        levels[entity] = mean + gain * (value - mean), (1 - gain) * (var + 1.0)
+        want[event_id] = (entity, *levels[entity])
+    assert got == want
+    assert len(spark.read.parquet(f"{w.path}/events").select(F.input_file_name()).distinct().collect()) == 4
+
+
+def test_an_empty_table_streams(spark):
+    w = Workspace(spark, "none")
+    df = spark.createDataFrame([], "id long, ts timestamp")
+    S.queue_slices(w, df, "ts")
+    assert spark.read.schema(df.schema).parquet(f"{w.path}/events").count() == 0
