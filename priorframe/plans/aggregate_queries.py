@@ -112,13 +112,13 @@ def a11(spark, sf_dir):
 @query("A12", f"""WITH {MONTHS}, top AS (SELECT season, max(period) AS top FROM months GROUP BY 1), spine AS (SELECT season, unnest(range(1, top + 2)) AS period FROM top),
 m AS (SELECT s.season, s.period, x.grp, x.entity, sum(x.qty) AS s, count(x.qty) AS n FROM spine s JOIN months x ON x.season = s.season AND x.period < s.period GROUP BY ALL)
 SELECT season, period, grp, round(avg(s / n) + 1e-9, 6) AS league_mean FROM m WHERE n > 0 GROUP BY ALL""")
-def a12(spark, sf_dir):
+def a12(spark, sf_dir, month=None):
     """Mean of entities' earlier means per period; entities without a row in a period still count.
 
     An entity's mean changes after its rows only: the changes are summed up per period and group, and added up over the
     periods of a season.
     """
-    rows = months(facts(spark, sf_dir))
+    rows = months(facts(spark, sf_dir)) if month is None else month
     own = Window.partitionBy("season", "grp", "entity").orderBy("period")
     rows = rows.select("season", "grp", "entity", "period", F.avg("qty").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("mean"))
     before = F.lag("mean").over(own)
@@ -136,8 +136,9 @@ def a12(spark, sf_dir):
 
 @query("A13", f"""WITH {MONTHS}, p AS (SELECT season, period, sum(qty) AS s, count(DISTINCT team) AS n FROM months GROUP BY ALL)
 SELECT season, period, sum(s) OVER w / sum(n) OVER w AS mean_before FROM p WINDOW w AS (PARTITION BY season ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
-def a13(spark, sf_dir):
-    rows = months(facts(spark, sf_dir)).groupBy("season", "period").agg(F.sum("qty").alias("s"), F.count_distinct("team").alias("n"))
+def a13(spark, sf_dir, month=None):
+    month = months(facts(spark, sf_dir)) if month is None else month
+    rows = month.groupBy("season", "period").agg(F.sum("qty").alias("s"), F.count_distinct("team").alias("n"))
     w = prior_window(("season",), ("period",))
     return rows.select("season", "period", ratio(F.sum("s").over(w), F.sum("n").over(w)).alias("mean_before"))
 

@@ -13,7 +13,7 @@ from ..operators.temporal import filtered_form, prior_values, prior_window, safe
 from ..sources.tables import VersionedTable, Workspace, promote_run, protected_upsert
 from ..streaming.stateful import run_batches
 from .aggregate_queries import a06, a07, a08, a11, a12, a13, a14, a17, a24, a25
-from .facts import FACT, PLAYS, facts, plays, table
+from .facts import FACT, PLAYS, facts, months, plays, table
 from .join_queries import SEVERITY, j02, j04, j10, u10
 from .metric_queries import m10, m11, m16
 from .rank_queries import BOARD, board, t03, t04, t07, t08, t09, t10
@@ -33,6 +33,7 @@ def _with(key: str) -> str:
 
 def entity_features(fact: DataFrame) -> DataFrame:
     """Each row of a fact with what the entity's strictly earlier rows say: one shuffle, two sort orders, no join."""
+    fact = fact.repartition("entity")  # serves the windows of a season and of a career
     keep = F.col("lines").isNull() | (F.col("lines") >= 3)
     kept = lambda c: F.when(keep, F.col(c))
     before, last3 = prior_window(SEASON, ORDER), prior_window(SEASON, ORDER, 3)
@@ -78,16 +79,22 @@ ENTITY_SQL = " JOIN ".join(
 def c01(spark, sf_dir):
     """The historical feature matrix: an entity's own history from one window, joined with its team's, rank's and league's,
     with names, venue and rules of the game, what the opponent allowed before, and the first defender's tendency."""
-    rows = entity_features(facts(spark, sf_dir))
-    rows = rows.join(w02(spark, sf_dir), ["team", "season", "period"], "left").join(w15(spark, sf_dir), ["team", "season", "period"], "left")
-    rows = rows.join(w12(spark, sf_dir), ["team", "grp", "season", "period", "entity"], "left")
-    rows = rows.join(a12(spark, sf_dir), ["season", "period", "grp"], "left").join(a13(spark, sf_dir), ["season", "period"], "left")
+    w = Workspace(spark, "matrix")
+    fact = w.save(facts(spark, sf_dir), "fact")
+    month = w.save(months(fact), "month")
+    # written, so that the planner sees their size: tables of teams and periods then meet the wide rows without a shuffle
+    team = w.save(w02(spark, sf_dir, month).join(w15(spark, sf_dir, month), ["team", "season", "period"], "full"), "team")
+    group, league = w.save(a12(spark, sf_dir, month), "group"), w.save(a13(spark, sf_dir, month), "league")
+    meetings = w.save(j04(spark, sf_dir, fact).drop("opponent_cents"), "meetings")
+    allowed = w.save(a11(spark, sf_dir).where("location = 'R'").drop("location"), "allowed")
+    # the joins on many rows first, those on the game next to each other
+    rows = entity_features(fact).join(w12(spark, sf_dir, month), ["team", "grp", "season", "period", "entity"], "left")
     rows = rows.join(j02(spark, sf_dir).withColumnRenamed("o_orderkey", "game"), "game", "left")
-    rules = f19(spark, sf_dir).groupBy("game").agg(F.bool_or("dome").alias("dome"), F.max("rule_era").alias("rule_era"), F.min("rest").alias("rest"), F.sum("scheme").alias("scheme"))
-    rows = rows.join(rules, "game", "left").join(j04(spark, sf_dir).drop("opponent_cents"), ["season", "period", "team"], "left")
-    rows = rows.join(a11(spark, sf_dir).where("location = 'R'").drop("location"), ["opponent", "season", "period"], "left")
-    rows = rows.join(plays(spark, sf_dir).groupBy("game").agg(F.min("defender").alias("defender")), "game", "left")
-    return rows.join(w13(spark, sf_dir), ["defender", "season", "period"], "left")
+    flags = F.bool_or("dome").alias("dome"), F.max("rule_era").alias("rule_era"), F.min("rest").alias("rest"), F.sum("scheme").alias("scheme")
+    rules = f19(spark, sf_dir, "defender").groupBy("game").agg(*flags, F.min("defender").alias("defender"))
+    rows = rows.join(rules, "game", "left").join(w13(spark, sf_dir), ["defender", "season", "period"], "left")
+    rows = rows.join(team, ["team", "season", "period"], "left").join(group, ["season", "period", "grp"], "left").join(league, ["season", "period"], "left")
+    return rows.join(meetings, ["season", "period", "team"], "left").join(allowed, ["opponent", "season", "period"], "left")
 
 
 NEXT = (2000, 7)

@@ -61,8 +61,9 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as plays: receiver, its team, the opposing team, game, season, period, location, zone, measures."""
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    rows = line.join(orders, line.l_orderkey == orders.o_orderkey).join(customer, orders.o_custkey == customer.c_custkey)
-    rows = rows.join(supplier, line.l_suppkey == supplier.s_suppkey)
+    # orders find their customers first: lines are shuffled by their order only, which is what groups of games need too
+    who = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    rows = line.join(supplier, line.l_suppkey == supplier.s_suppkey).join(who, line.l_orderkey == orders.o_orderkey)
     return rows.select(
         F.col("l_orderkey").alias("game"), F.col("l_linenumber").cast("long").alias("play"), F.col("o_custkey").alias("receiver"),
         F.col("c_nationkey").cast("long").alias("team"), F.col("s_nationkey").cast("long").alias("opponent"),

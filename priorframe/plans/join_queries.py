@@ -123,17 +123,18 @@ ROUND = """team_rev AS (SELECT season, period, team, sum(cents)::BIGINT AS cents
 placed AS (SELECT *, row_number() OVER (PARTITION BY season, period ORDER BY cents DESC NULLS LAST, team) AS place FROM team_rev)"""
 
 
-def team_rounds(spark, sf_dir):
+def team_rounds(spark, sf_dir, fact=None):
     """Teams of a period by revenue; places 2k-1 and 2k meet."""
-    rows = facts(spark, sf_dir).groupBy("season", "period", "team").agg(F.sum("cents").alias("cents"), F.count("*").alias("games"))
+    fact = facts(spark, sf_dir) if fact is None else fact
+    rows = fact.groupBy("season", "period", "team").agg(F.sum("cents").alias("cents"), F.count("*").alias("games"))
     place = F.row_number().over(Window.partitionBy("season", "period").orderBy(F.desc_nulls_last("cents"), "team")).cast("long")
     return rows.withColumn("place", place)
 
 
 @query("J04", f"""WITH {FACT}, {ROUND} SELECT x.season, x.period, x.team, y.team AS opponent, y.cents AS opponent_cents
 FROM placed x JOIN placed y ON x.season = y.season AND x.period = y.period AND (x.place + 1) // 2 = (y.place + 1) // 2 AND x.team <> y.team""")
-def j04(spark, sf_dir):
-    rows = team_rounds(spark, sf_dir).withColumn("meeting", F.floor((F.col("place") + 1) / 2))
+def j04(spark, sf_dir, fact=None):
+    rows = team_rounds(spark, sf_dir, fact).withColumn("meeting", F.floor((F.col("place") + 1) / 2))
     other = rows.select("season", "period", "meeting", F.col("team").alias("opponent"), F.col("cents").alias("opponent_cents"))
     return rows.join(other, ["season", "period", "meeting"]).where("team <> opponent").select("season", "period", "team", "opponent", "opponent_cents")
 

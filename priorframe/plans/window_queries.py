@@ -33,8 +33,9 @@ def w01(spark, sf_dir):
 @query("W02", f"""WITH {MONTHS}, t AS (SELECT team, season, period, sum(returned)::BIGINT AS r, sum(lines)::BIGINT AS n FROM months GROUP BY ALL)
 SELECT team, season, period, (sum(r) OVER w)::DOUBLE / nullif(sum(n) OVER w, 0) AS rate_before
 FROM t WINDOW w AS (PARTITION BY team, season ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
-def w02(spark, sf_dir):
-    team = months(facts(spark, sf_dir)).groupBy("team", "season", "period").agg(F.sum("returned").alias("r"), F.sum("lines").alias("n"))
+def w02(spark, sf_dir, month=None):
+    month = months(facts(spark, sf_dir)) if month is None else month
+    team = month.groupBy("team", "season", "period").agg(F.sum("returned").alias("r"), F.sum("lines").alias("n"))
     w = prior_window(("team", "season"), ("period",))
     return team.select("team", "season", "period", safe_ratio(F.sum("r").over(w), F.sum("n").over(w)).alias("rate_before"))
 
@@ -138,12 +139,12 @@ members AS (SELECT DISTINCT team, grp, season, entity FROM months),
 volume AS (SELECT s.team, s.grp, s.season, s.period, m.entity, coalesce(sum(x.qty), 0) AS prior_qty
  FROM spine s JOIN members m USING (team, grp, season) LEFT JOIN months x ON x.entity = m.entity AND x.season = s.season AND x.team = s.team AND x.grp = s.grp AND x.period < s.period GROUP BY ALL)
 SELECT team, grp, season, period::BIGINT AS period, entity, row_number() OVER (PARTITION BY team, grp, season, period ORDER BY prior_qty DESC, entity) AS pos_rank FROM volume WHERE prior_qty > 0""")
-def w12(spark, sf_dir):
+def w12(spark, sf_dir, month=None):
     """Rank within team and group by what was gathered before each period; ties by id. Unseen entities have no row.
 
     A running total stands from the period after a row to the entity's next row, and is written out for these periods only.
     """
-    month = months(facts(spark, sf_dir))
+    month = months(facts(spark, sf_dir)) if month is None else month
     keys = ["team", "grp", "season"]
     own = Window.partitionBy(*keys, "entity").orderBy("period")
     top = F.max("period").over(Window.partitionBy(*keys))
@@ -176,8 +177,9 @@ def w14(spark, sf_dir):
 p AS (SELECT team, season, period, (sum(plays) OVER w)::DOUBLE / nullif(sum(games) OVER w, 0) AS pace, (sum(passes) OVER w)::DOUBLE / nullif(sum(plays) OVER w, 0) AS pass_rate
  FROM t WINDOW w AS (PARTITION BY team, season ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT *, pace * pass_rate AS pass_volume, pace * (1 - pass_rate) AS rush_volume FROM p""")
-def w15(spark, sf_dir):
-    team = months(facts(spark, sf_dir)).groupBy("team", "season", "period").agg(
+def w15(spark, sf_dir, month=None):
+    month = months(facts(spark, sf_dir)) if month is None else month
+    team = month.groupBy("team", "season", "period").agg(
         F.sum("lines").alias("plays"), F.sum("returned").alias("passes"), F.sum("games").alias("games")
     )
     w = prior_window(("team", "season"), ("period",))

@@ -64,3 +64,17 @@ def test_walk_forward_medians_and_sources(spark):
         assert middle[season]["x"] == pytest.approx((values[(n - 1) // 2] + values[n // 2]) / 2)
     missing = [r for r in out if r.season == 1993 and r.x is None]
     assert missing and len({r.prediction for r in missing}) == 1
+
+
+def test_the_matrix_is_shuffled_for_its_large_joins_only(spark, sf):
+    """Tables of teams and periods meet the wide rows of C01 by their written size, not in a sort-merge join."""
+    from priorframe.plans import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20KB")
+    try:
+        plan = QUERIES["C01"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    heads = [line for line in plan.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+    assert not any(f"[{keys}" in h for h in heads for keys in ("team#", "season#", "opponent#") if "entity#" not in h), heads
+    assert len(heads) <= 8, heads
